@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidalgrid.llm.common import BASE_A, BASE_B, Scratch, WordHashes, as_long, bytes_column, mix, ranges, rolling, tidy
+from tidalgrid.llm.common import BASE_A, BASE_B, Scratch, as_long, bytes_column, mix, ranges, rolling, tidy
 
 WINDOW, GRAM = 20, 8
 
@@ -31,10 +32,27 @@ SITE = ["doc_id", "pos", "lo", "hi"]
 class _Words:
     """Two independent hashes of each word, and of any range of words."""
 
-    def __init__(self) -> None:
-        self.one, self.two = WordHashes(seed=1), WordHashes(most=200_000, seed=2)
+    def __init__(self, most: int = 400_000) -> None:
+        self.most, self.places = most, {}
+        self.table = np.empty((2, most + 1024), np.uint64)
         self.grow(1024)
 
+    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of each word's 128-bit hash, kept in a table that starts anew when it is full."""
+        places = self.places
+        if len(places) > self.most:
+            places.clear()
+        new = set(words).difference(places)
+        if new:
+            start = len(places)
+            if start + len(new) > self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.empty((2, len(new) + self.most), np.uint64)], axis=1)
+            found = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), ">u8").reshape(-1, 2)
+            self.table[:, start : start + len(new)] = found.T
+            places.update(zip(new, range(start, start + len(new))))
+        at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        return self.table[0][at], self.table[1][at]
+
     def grow(self, n: int) -> None:
         with np.errstate(over="ignore"):
             powers = np.full((2, n + 1), BASE_B, np.uint64)
@@ -42,12 +60,6 @@ class _Words:
             powers[:, 0] = 1
             self.up, self.down = np.cumprod(powers, axis=1, dtype=np.uint64)
 
-    def first(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.one.__getitem__, words), np.uint64, len(words))
-
-    def second(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.two.__getitem__, words), np.uint64, len(words))
-
     def spans(self, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(h) >= len(self.up):
             self.grow(2 * len(h))
@@ -59,8 +71,11 @@ class _Words:
 def sites(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, position, and first and last window of each anchor of a text of word hashes h."""
     grams = rolling(h, GRAM, BASE_A)
-    at = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).argmin(axis=1)
-    at = at + np.arange(len(at))
+    # the leftmost least of 13 grams by the hash's upper half, by minima of 2, 4 and 8 neighbours
+    least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    for step in (1, 2, 4, WINDOW - GRAM + 1 - 8):
+        least = np.minimum(least[:-step], least[step:])
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     lo = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     hi = np.concatenate([lo[1:] - 1, [len(at) - 1]])
     return grams[at[lo]], at[lo], lo, hi
@@ -77,9 +92,9 @@ def anchors(docs: DataFrame) -> DataFrame:
                 words = text.split()
                 if len(words) < WINDOW:
                     continue
-                h = table.first(words)
-                fp, pos, lo, hi = sites(h)
-                zone = table.spans(table.second(words), lo, hi + WINDOW)
+                one, two = table.hashes(words)
+                fp, pos, lo, hi = sites(one)
+                zone = table.spans(two, lo, hi + WINDOW)
                 with np.errstate(over="ignore"):
                     zone = mix(zone ^ mix(((hi - lo) * 64 + pos - lo).astype(np.uint64)))
                 out.append((fp, zone, np.full(len(fp), doc, np.int64), pos, lo, hi))
@@ -109,8 +124,8 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for s in spans:
                     keep[s["lo"] : s["hi"] + 1] = True
                 at = np.flatnonzero(keep)
-                a = rolling(table.first(words), WINDOW, BASE_A)[at]
-                b = rolling(table.second(words), WINDOW, BASE_B)[at]
+                one, two = table.hashes(words)
+                a, b = rolling(one, WINDOW, BASE_A)[at], rolling(two, WINDOW, BASE_B)[at]
                 out.append((as_long(a), as_long(b), np.full(len(at), doc, np.int64), at.astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["wa", "wb", "doc_id", "start"])
@@ -163,10 +178,11 @@ class FingerprintIndex:
             self._drop(name)
         self.runs = [new]
 
-    def add(self, batch: DataFrame, so_far: DataFrame, last: bool = False) -> DataFrame:
+    def add(self, batch: DataFrame, so_far: DataFrame, after: int | None = None, last: bool = False) -> DataFrame:
         """doc_id, lo, hi: ranges of windows of the batch that start earlier too, in it or in what was added before.
 
-        ``so_far``: the texts added so far and the batch's, for verification. ``last``: no batch follows.
+        ``so_far``: the texts added so far and the batch's, for verification. ``after``: the batch has larger ids only.
+        ``last``: no batch follows.
         """
         k, save = self.made, self.scratch.save
         found = save(anchors(batch), f"anchors{k}")
@@ -183,7 +199,7 @@ class FingerprintIndex:
             old = save(old, f"old{k}")
             seen = old.select("fp", "zone", F.lit(True).alias("seen")).distinct()
             new = new.drop("known").join(seen, ["fp", "zone"], "left").withColumn("known", F.col("seen").isNotNull()).drop("seen")
-        new = save(new, f"new{k}")
+            new = save(new, f"new{k}")
         # an anchor with several zones: its windows need verification, at the zones' first places
         zones = new.select("fp", "zone", F.when(F.col("known"), 0).otherwise(1).alias("fresh"))
         if old is not None:
@@ -202,6 +218,7 @@ class FingerprintIndex:
         single = (
             hashes.join(least, ["wa", "wb"])
             .where("doc_id <> at.doc_id or start <> at.start")
+            .where(F.lit(True) if after is None else F.col("doc_id") > after)
             .select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
         )
         whole = (
@@ -266,7 +283,7 @@ def substring_dedup(docs: DataFrame, batches: int = 2, most_runs: int = 2) -> Da
     for k, (low, high) in enumerate(zip(edges, edges[1:])):
         upto = docs if high is None else docs.where(F.col("doc_id") <= high)
         batch = upto if low is None else upto.where(F.col("doc_id") > low)
-        got = index.add(batch, upto, last=k == len(edges) - 2)
+        got = index.add(batch, upto, low, last=k == len(edges) - 2)
         spans = got if spans is None else spans.unionByName(got)
     index.close()
     return cut(docs, spans)
