@@ -203,8 +203,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, light: in
     reps = base.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     postings = reps.select(F.col("doc_id").alias("id"), "size", F.posexplode("keys").alias("at", "key"))
     postings = postings.withColumn("at", F.when(F.col("size") > light, F.col("at")).otherwise(0))
-    centres = postings.groupBy("key").agg(F.min(F.struct("id", "size", "at")).alias("c"), F.max("id").alias("most")).where("c.id <> most")
-    lists = scratch.save(postings.join(centres.select("key", "c"), "key"), "lists")
+    # if this element is the first that two sets share, the other set has at most ``reach`` elements
+    reach = F.floor((F.col("size") - F.col("at")) * (100.0 + percent) / percent + 1e-6).cast("long") - F.col("size")
+    postings = postings.withColumn("reach", reach)
+    bounds = [F.min("size").alias("least"), F.max("reach").alias("far")]
+    useful = (F.col("reach") >= F.col("least")) & (F.col("size") <= F.col("far"))
+    # the centre is the set with the fewest elements before the shared one, so the closest to what is common
+    centres = postings.groupBy("key").agg(F.min(F.struct("at", "id", "size")).alias("c"), F.min("id").alias("x"), F.max("id").alias("y"), *bounds).where("x <> y")
+    lists = postings.join(centres.select("key", "c", "least", "far"), "key").where(useful).drop("least", "far")
+    lists = scratch.save(lists, "lists")
 
     def possible(sa: str, ia: str, sb: str, ib: str) -> F.Column:
         """Length bound, and positional bound for a shared element that is the first of both."""
@@ -218,9 +225,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, light: in
     tidy(docs.sparkSession)
 
     labels = groups.withColumnRenamed("component", "comp")
-    open_ = lists.select("key", "id", "size", "at").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_ = scratch.save(open_.join(mixed, "key", "left_semi"), "open")
+    open_ = lists.select("key", "id", "size", "at", "reach").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *bounds).where("x <> y")
+    open_ = scratch.save(open_.join(mixed.select("key", "least", "far"), "key").where(useful).drop("least", "far"), "open")
     sides = open_.select("key", "comp").distinct()
     across = sides.select("key", F.col("comp").alias("ca")).join(sides.select("key", F.col("comp").alias("cb")), "key").where("ca < cb")
     one = open_.select("key", F.col("comp").alias("ca"), F.col("id").alias("a"), F.col("size").alias("sa"), F.col("at").alias("ia"))
