@@ -51,7 +51,8 @@ def _byte_alphabet() -> dict[str, int]:
 class PrefixCounter:
     """The dynamic programme for one byte-level BPE vocabulary file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
+        import ahocorasick
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -69,6 +70,11 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         if self.longest > 128:
             raise ValueError("tokens of over 128 bytes")
+        finder = ahocorasick.Automaton()
+        for token, t in self.vocab.items():
+            finder.add_word(token.decode("latin-1"), (t, len(token)))
+        finder.make_automaton()
+        self.ending = finder.iter
         self.specials = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.alone: dict[int, bool] = {}
@@ -102,25 +108,24 @@ class PrefixCounter:
 
     def word(self, data: bytes) -> list[int]:
         """Token counts of data[:1], data[:2], ... for one piece that the pattern doesn't split."""
-        vocab, pairs, alone, longest = self.vocab, self.pairs, self.alone, self.longest
-        last, counts = [-1], [0]
-        for i in range(1, len(data) + 1):
-            for n in range(min(i, longest), 0, -1):
-                t = vocab.get(data[i - n : i])
-                if t is None:
-                    continue
-                if n == i:
-                    ok = alone.get(t)
-                    ok = self.whole(t) if ok is None else ok
-                else:
-                    ok = pairs.get((last[i - n], t))
-                    ok = self.joins(last[i - n], t) if ok is None else ok
-                if ok:
-                    last.append(t)
-                    counts.append(counts[i - n] + 1)
-                    break
+        pairs, alone, n = self.pairs, self.alone, len(data)
+        last, counts = [-1] * (n + 1), [0] * (n + 1)
+        for end, (t, size) in self.ending(data.decode("latin-1")):  # tokens that end at each place, longest first
+            i = end + 1
+            if counts[i]:
+                continue
+            j = i - size
+            if j:
+                ok = pairs.get((last[j], t))
+                ok = self.joins(last[j], t) if ok is None else ok
             else:
-                raise ValueError("the vocabulary lacks a byte")
+                ok = alone.get(t)
+                ok = self.whole(t) if ok is None else ok
+            if ok:
+                last[i] = t
+                counts[i] = counts[j] + 1
+        if 0 in counts[1:]:
+            raise ValueError("the vocabulary lacks a byte")
         return counts[1:]
 
     def chars(self, piece: str) -> list[int]:
