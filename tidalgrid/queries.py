@@ -1,9 +1,329 @@
-"""The registered queries of the engine's own operators, and their SQL."""
+"""The registered queries of the engine's own operators over the synthetic tables, and the same in SQL.
 
+Doubles that trigonometry or interpolation gives are rounded to six decimals on both sides.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidalgrid.functions import geo
+from tidalgrid.operators import fields, tracks, voyage, water
+from tidalgrid.plans.axes import Axes
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+DAY = 86400
+#: 2024-01-01 in seconds; 30 days of a 5 x 6 grid that goes round the globe.
+T0 = 1704067200
+WORLD = Axes(T0, DAY, 30, -60.0, 30.0, 5, -180.0, 60.0, 6)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def seconds(name: str):
+    return F.unix_seconds(F.col(name).cast("timestamp"))
+
+
+def event_cells(spark: SparkSession, sf_dir: str, measure: str = "value") -> DataFrame:
+    """i, j, k, value: mean of events by day and two digits of the user."""
+    rows = table(spark, sf_dir, "events").select(
+        F.floor((seconds("ts") - T0) / DAY).cast("int").alias("i"), (F.col("user_id") % 5).cast("int").alias("j"),
+        (F.floor(F.col("user_id") / 5) % 6).cast("int").alias("k"), "value", "event_id",
+    )
+    value = F.round(F.avg("value"), 6) if measure == "value" else F.avg(F.col("event_id") % 100)
+    return rows.where("i between 0 and 29").groupBy("i", "j", "k").agg(value.alias("value"))
+
+
+CELLS = f"""cells AS (
+  SELECT CAST(floor((epoch(ts) - {T0}) / {DAY}) AS INTEGER) AS i, CAST(user_id % 5 AS INTEGER) AS j,
+         CAST((user_id // 5) % 6 AS INTEGER) AS k, round(avg(value), 6) AS value
+  FROM events WHERE floor((epoch(ts) - {T0}) / {DAY}) BETWEEN 0 AND 29 GROUP BY 1, 2, 3)"""
+
+
+def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("id"), (F.lit(T0) + key * 7919 % (31 * DAY)).alias("t"), (key * 31 % 1400 / 10.0 - 70.0).alias("lat"), (key * 17 % 4000 / 10.0 - 200.0).alias("lon")
+    )
+
+
+POINTS = f"""pts AS (
+  SELECT o_orderkey AS id, {T0} + (o_orderkey * 7919) % {31 * DAY} AS t,
+         CAST((o_orderkey * 31) % 1400 AS DOUBLE) / 10 - 70 AS lat, CAST((o_orderkey * 17) % 4000 AS DOUBLE) / 10 - 200 AS lon
+  FROM orders)"""
+
+LOCATED = """loc AS (
+  SELECT id, (t - 1704067200) / CAST(86400 AS DOUBLE) AS ti, (lat + 60) / CAST(30 AS DOUBLE) AS yi,
+         ((((lon + 180) % 360) + 360) % 360) / CAST(60 AS DOUBLE) AS xi FROM pts),
+idx AS (
+  SELECT id, ti, yi, xi, CAST(floor(ti) AS INTEGER) AS i0, CAST(floor(yi) AS INTEGER) AS j0, CAST(least(floor(xi), 5) AS INTEGER) AS k0
+  FROM loc WHERE ti BETWEEN 0 AND 29 AND yi BETWEEN 0 AND 4),
+corners AS (
+  SELECT id, least(i0 + a.d, 29) AS i, least(j0 + b.d, 4) AS j, (k0 + c.d) % 6 AS k,
+         (CASE WHEN a.d = 1 THEN ti - i0 ELSE 1 - (ti - i0) END) * (CASE WHEN b.d = 1 THEN yi - j0 ELSE 1 - (yi - j0) END)
+         * (CASE WHEN c.d = 1 THEN xi - k0 ELSE 1 - (xi - k0) END) AS w
+  FROM idx, (VALUES (0), (1)) a(d), (VALUES (0), (1)) b(d), (VALUES (0), (1)) c(d))"""
+
+
+def cube_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.dense(event_cells(spark, sf_dir), WORLD)
+
+
+def sample_trilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = fields.frames(fields.dense(event_cells(spark, sf_dir), WORLD), WORLD)
+    return fields.sample(order_points(spark, sf_dir), cube, WORLD).select("id", F.round("value", 5).alias("value"))
+
+
+def vector_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, v = (fields.frames(fields.dense(event_cells(spark, sf_dir, m), WORLD), WORLD) for m in ("value", "id"))
+    return fields.sample_vector(order_points(spark, sf_dir), u, v, WORLD).select("id", F.round("speed", 4).alias("speed"), F.round("heading", 4).alias("heading"))
+
+
+def quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = fields.quantise(fields.dense(event_cells(spark, sf_dir), WORLD))
+    return fields.dequantise(q).select("i", "j", "k", F.round("value", 2).alias("value"))
+
+
+def quantise_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells come back within one step of the quantiser."""
+    q = fields.quantise(fields.dense(event_cells(spark, sf_dir), WORLD)).withColumnRenamed("value", "was")
+    back = q.withColumn("value", F.when(F.col("raw") != fields.FILL, F.col("raw") * F.col("scale") + F.col("offset")))
+    good = F.when(F.col("was").isNull(), F.col("value").isNull()).otherwise(F.abs(F.col("was") - F.col("value")) <= F.greatest(F.col("scale"), F.lit(1e-3)))
+    return back.agg(F.count(F.lit(1)).alias("cells"), F.count_if(good).alias("good"))
+
+
+def bbox_dateline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fields.crop(fields.dense(event_cells(spark, sf_dir), WORLD), WORLD, 120.0, -30.0, -60.0, 60.0)
+    return got.select("i", "j", "k", "lat", "lon", "value")
+
+
+def thin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.thin(fields.dense(event_cells(spark, sf_dir), WORLD), 2)
+
+
+def stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "orders").select(seconds("o_orderdate").alias("t"))
+    return fields.select_frames(days, 10, 400, 7)
+
+
+def uniform_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "events").select((F.floor(seconds("ts") / DAY) * DAY).alias("t")).distinct()
+    return fields.uniform_step(days)
+
+
+def rate_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), seconds("o_orderdate").alias("t"), F.col("o_totalprice").alias("value"))
+    return fields.to_rate(rows, 3600).select("id", fields.midpoint(F.col("t"), 3601).alias("t"), F.round("value", 6).alias("value"))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each order's history, three rows a part at most, neighbours sharing one."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.when(F.col("n") <= 30, F.lit(1)).otherwise(F.ceil((F.col("n") - 1) / 29.0)).cast("long")
+    at = n.select("l_suppkey", "n", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    return at.select("l_suppkey", "part", (F.col("part") * 29).alias("lo"), F.least(F.col("part") * 29 + 30, F.col("n")).alias("hi"))
+
+
+def union_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), (seconds("o_orderdate") + F.ascii("o_orderpriority") * 1000).alias("t"), F.col("o_orderkey").alias("value"))
+    return fields.union_along_time(rows)
+
+
+def nearest_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = table(spark, sf_dir, "events").where("event_type = 'error'").select((F.floor(seconds("ts") / 7200) * 7200).alias("t"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.lit(T0) + F.col("o_orderkey") * 97 % (30 * DAY)).alias("t"))
+    return fields.nearest_time(asked, times)
+
+
+def percentile_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.02).alias("lo"), F.percentile("value", 0.98).alias("hi")).select("event_type", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("user_id").alias("cells"), F.min(seconds("ts")).alias("first"), F.max(seconds("ts")).alias("last"))
+
+
+def customer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(key.alias("id"), (key * 13 % 1700 / 10.0 - 85).alias("lat1"), (key * 29 % 3600 / 10.0 - 180).alias("lng1"), (key * 7 % 1700 / 10.0 - 85).alias("lat2"), (key * 31 % 3600 / 10.0 - 180).alias("lng2"))
+
+
+PLACES = """p AS (SELECT c_custkey AS id, CAST((c_custkey * 13) % 1700 AS DOUBLE) / 10 - 85 AS lat1, CAST((c_custkey * 29) % 3600 AS DOUBLE) / 10 - 180 AS lng1,
+  CAST((c_custkey * 7) % 1700 AS DOUBLE) / 10 - 85 AS lat2, CAST((c_custkey * 31) % 3600 AS DOUBLE) / 10 - 180 AS lng2 FROM customer)"""
+PLACE = ["lat1", "lng1", "lat2", "lng2"]
+
+
+def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customer_places(spark, sf_dir).select("id", F.round(geo.great_circle_km(*map(F.col, PLACE)), 4).alias("km"))
+
+
+def bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = customer_places(spark, sf_dir).where("lat1 <> lat2 and lng1 <> lng2")
+    return apart.select("id", F.round(geo.initial_bearing(*map(F.col, PLACE)), 4).alias("deg"))
+
+
+def destination_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lon = geo.destination(F.col("lat1"), F.col("lng1"), F.col("lat2") + 90.5, F.lit(500.0))
+    return customer_places(spark, sf_dir).select("id", F.round(lat, 4).alias("lat"), F.round(lon, 4).alias("lon"))
+
+
+def order_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.row_number().over(order).alias("step"), (key * 13 % 1700 / 10.0 - 85).alias("lat"), (key * 29 % 3600 / 10.0 - 180).alias("lng"))
+
+
+def leg_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.legs(order_tracks(spark, sf_dir)).select("run", "step", F.round("leg_km", 3).alias("leg_km"), F.round("run_km", 3).alias("run_km"))
+
+
+def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.summary(order_tracks(spark, sf_dir), ["lat", "lng"])
+
+
+def bracket_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's value at noon of every fourth day, between the user's events of whole hours."""
+    series = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run"), (F.floor(seconds("ts") / 3600) * 3600).alias("t")).agg(F.max("value").alias("value"))
+    days = F.explode(F.sequence(F.lit(0), F.lit(28), F.lit(4))).alias("d")
+    asked = series.select("run").distinct().select("run", days).select((F.col("run") * 100 + F.col("d")).alias("id"), "run", (F.lit(T0 + 43200 + 900) + F.col("d") * DAY).alias("t"))
+    return tracks.value_at(asked, series).select("id", F.round("value", 5).alias("value"))
+
+
+def voyage_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    runs = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("run_"), key.cast("string")).alias("run"), F.lit(T0).cast("long").alias("start_time"), (key % 100 / 10.0).alias("start_lat"), (key % 70 / 10.0).alias("start_lng"),
+        (key % 90 / 10.0 + 2).alias("end_lat"), (key % 60 / 10.0 + 2).alias("end_lng"), F.lit(48).alias("max_steps"),
+    )
+    return voyage.simulate(runs)
+
+
+#: A 24 x 40 map; land is a rule of row and column, so SQL can state it.
+ROWS, COLS = 24, 40
+
+
+def map_cells(spark: SparkSession) -> DataFrame:
+    cell = spark.range(ROWS * COLS).select(F.col("id").alias("cell"), F.floor(F.col("id") / COLS).alias("row"), (F.col("id") % COLS).alias("col"))
+    land = ((F.col("col") == 20) & (F.col("row") < 18)) | (F.col("col") == 30) | (F.pmod(F.col("row") * 7 + F.col("col") * 3, F.lit(11)) == 0)
+    return cell.withColumns({"water": ~land, "lat": F.col("row") * 0.5, "lng": F.col("col") * 0.5})
+
+
+MAP = f"""m AS (SELECT CAST(c AS BIGINT) AS cell, CAST(c // {COLS} AS BIGINT) AS row, CAST(c % {COLS} AS BIGINT) AS col FROM range(0, {ROWS * COLS}) t(c)),
+w AS (SELECT * FROM m WHERE NOT ((col = 20 AND row < 18) OR col = 30 OR (row * 7 + col * 3) % 11 = 0))"""
+EDGES = "e AS (SELECT a.cell AS src, b.cell AS dst FROM w a JOIN w b ON abs(a.row - b.row) + abs(a.col - b.col) = 1)"
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return water.component(water.adjacency(map_cells(spark).where("water")), 1)
+
+
+def bottleneck_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sea = map_cells(spark).where("water")
+    depth = sea.select("cell", (F.pmod(F.col("row") * 5 + F.col("col") * 11, F.lit(17)) + 1).cast("double").alias("d"))
+    return water.access_width(depth, water.adjacency(sea), 1).select("cell", F.col("value").alias("width"))
+
+
+def multi_source_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sea = map_cells(spark).where("water")
+    sources = sea.where("row = 0").select("cell", F.col("col").cast("double").alias("value"))
+    return water.shore_distance(sources, water.adjacency(sea)).select("cell", F.round("value", 3).alias("km"))
+
+
+def pyramid_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row, col, margin, budget of a 64 x 64 map, shore distances taken from the customers' balances."""
+    key, x = F.col("c_custkey"), F.col("c_acctbal")
+    cell = table(spark, sf_dir, "customer").groupBy(F.floor(key / 64).alias("row"), (key % 64).alias("col")).agg(F.max(x).alias("x"))
+    d, a = F.col("x") / 100, F.abs(F.col("x")) / 40
+    return cell.select("row", "col", water.margin(d, a, 5.0, 2.0).alias("margin"), (d - 6.0).alias("budget"))
+
+
+BASE = """b AS (SELECT c_custkey // 64 AS row, c_custkey % 64 AS col, least(max(c_acctbal) / 100 - 5, (abs(max(c_acctbal)) / 40 - 12) / 2) AS margin, max(c_acctbal) / 100 - 6 AS budget FROM customer GROUP BY 1, 2)"""
+
+
+def pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = water.pyramid(pyramid_base(spark, sf_dir), 4)
+    return got.select("level", "row", "col", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "budget")])
+
+
+def navmap_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = water.pyramid(pyramid_base(spark, sf_dir), 4)
+    points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 7 % 30).alias("row"), (F.col("o_orderkey") * 11 % 70).alias("col"))
+    return water.decide(points, tree, 4).select("id", "legal", F.round("budget", 6).alias("budget"), "level")
+
+
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 31 % 1000 / 10.0 + 0.05).alias("x"), (F.col("o_orderkey") * 17 % 1000 / 10.0 + 0.05).alias("y"))
+    ring = [(10.0, 10.0), (90.0, 20.0), (80.0, 90.0), (50.0, 40.0), (20.0, 80.0)]
+    edges = spark.createDataFrame([(*a, *b) for a, b in zip(ring, ring[1:] + ring[:1])], "x1 double, y1 double, x2 double, y2 double")
+    return water.contains(points, edges)
+
+
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a sweep for each nation: zero-padded names, spaced starts, durations parsed from text."""
+    every = geo.seconds_of(F.concat((F.col("n_nationkey") % 5 + 1).cast("string"), F.lit(".5h")))
+    runs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), every.alias("every"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("step"))
+    return runs.select(F.concat(F.lit("run"), F.col("n").cast("string"), F.lit("_"), F.lpad(F.col("step").cast("string"), 2, "0")).alias("name"), (F.lit(T0) + F.col("every") * F.col("step")).alias("start_time"))
+
+
+SQL: dict[str, str] = {
+    "cube_dense": f"""WITH {CELLS}, g AS (SELECT CAST(c // 30 AS INTEGER) AS i, CAST((c % 30) // 6 AS INTEGER) AS j, CAST(c % 6 AS INTEGER) AS k FROM range(0, 900) t(c))
+SELECT g.i, g.j, g.k, value FROM g LEFT JOIN cells ON g.i = cells.i AND g.j = cells.j AND g.k = cells.k""",
+    "sample_trilinear": f"""WITH {CELLS}, {POINTS}, {LOCATED}
+SELECT id, round(sum(w * value), 5) AS value FROM corners JOIN cells USING (i, j, k) GROUP BY id HAVING count(*) = 8""",
+    "bbox_dateline": f"""WITH {CELLS}, g AS (SELECT CAST(c // 30 AS INTEGER) AS i, CAST((c % 30) // 6 AS INTEGER) AS j, CAST(c % 6 AS INTEGER) AS k FROM range(0, 900) t(c)),
+x AS (SELECT g.i, g.j, g.k, CAST(-60 + g.j * 30 AS DOUBLE) AS lat, CAST((-180 + g.k * 60 - 120 + 720) % 360 AS DOUBLE) AS o FROM g)
+SELECT x.i, x.j, x.k, lat, o + 120 AS lon, value FROM x LEFT JOIN cells ON x.i = cells.i AND x.j = cells.j AND x.k = cells.k WHERE o <= 180 AND lat BETWEEN -30 AND 60""",
+    "thin": f"""WITH {CELLS}, g AS (SELECT CAST(c // 30 AS INTEGER) AS i, CAST((c % 30) // 6 AS INTEGER) AS j, CAST(c % 6 AS INTEGER) AS k FROM range(0, 900) t(c))
+SELECT g.i, CAST(g.j // 2 AS INTEGER) AS j, CAST(g.k // 2 AS INTEGER) AS k, value FROM g LEFT JOIN cells ON g.i = cells.i AND g.j = cells.j AND g.k = cells.k WHERE g.j % 2 = 0 AND g.k % 2 = 0""",
+    "stride": """WITH d AS (SELECT CAST(dense_rank() OVER (ORDER BY t) - 1 AS INTEGER) AS i, t FROM (SELECT DISTINCT CAST(epoch(o_orderdate) AS BIGINT) AS t FROM orders) q)
+SELECT i, t FROM d WHERE i >= 10 AND i < 400 AND (i - 10) % 7 = 0""",
+    "uniform_step": f"""WITH d AS (SELECT DISTINCT CAST(floor(epoch(ts) / {DAY}) AS BIGINT) * {DAY} AS t FROM events), g AS (SELECT t - lag(t) OVER (ORDER BY t) AS d FROM d)
+SELECT count(*) AS n, CAST(avg(d) AS DOUBLE) AS step, max(d) = min(d) AS uniform FROM g""",
+    "rate_midpoint": """SELECT o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) - 1800 AS t, round(o_totalprice / 3600, 6) AS value FROM orders""",
+    "chunks": """WITH n AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT l_suppkey, n, unnest(range(0, CASE WHEN n <= 30 THEN 1 ELSE CAST(ceil((n - 1) / 29.0) AS BIGINT) END)) AS part FROM n)
+SELECT l_suppkey, part, part * 29 AS lo, least(part * 29 + 30, n) AS hi FROM p""",
+    "union_time": """WITH r AS (SELECT o_orderpriority AS source, CAST(epoch(o_orderdate) AS BIGINT) + ascii(o_orderpriority) * 1000 AS t, o_orderkey AS value FROM orders),
+s AS (SELECT source, min(t) AS t0, max(t) AS t1 FROM r GROUP BY source), l AS (SELECT source, max(t1) OVER (ORDER BY t0, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after FROM s)
+SELECT r.source, r.t, r.value FROM r JOIN l ON r.source = l.source WHERE l.after IS NULL OR r.t > l.after""",
+    "percentile_limits": """SELECT event_type, round(quantile_cont(value, 0.02), 6) AS lo, round(quantile_cont(value, 0.98), 6) AS hi FROM events GROUP BY 1""",
+    "inventory": """SELECT event_type, count(*) AS frames, count(DISTINCT user_id) AS cells, CAST(floor(min(epoch(ts))) AS BIGINT) AS first, CAST(floor(max(epoch(ts))) AS BIGINT) AS last FROM events GROUP BY 1""",
+    "haversine": f"""WITH {PLACES} SELECT id, round(2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lng2 - lng1) / 2), 2)))), 4) AS km FROM p""",
+    "bearing": f"""WITH {PLACES}, x AS (SELECT id, degrees(atan2(sin(radians(lng2 - lng1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lng2 - lng1)))) AS d FROM p WHERE lat1 <> lat2 AND lng1 <> lng2)
+SELECT id, round(CASE WHEN d < 0 THEN d + 360 ELSE d END, 4) AS deg FROM x""",
+    "track_summary": """WITH t AS (SELECT o_custkey AS run, CAST((o_orderkey * 13) % 1700 AS DOUBLE) / 10 - 85 AS lat, CAST((o_orderkey * 29) % 3600 AS DOUBLE) / 10 - 180 AS lng FROM orders)
+SELECT run, count(*) AS points, min(lat) AS min_lat, max(lat) AS max_lat, min(lng) AS min_lng, max(lng) AS max_lng FROM t GROUP BY run""",
+    "components": f"""WITH RECURSIVE {MAP}, {EDGES}, r AS (SELECT CAST(1 AS BIGINT) AS cell UNION SELECT e.dst FROM r JOIN e ON e.src = r.cell) SELECT cell FROM r""",
+    "pyramid": f"""WITH {BASE}, l AS (SELECT CAST(v AS INTEGER) AS level, CAST(power(2, v) AS BIGINT) AS f FROM range(0, 4) t(v))
+SELECT level, row // f AS row, col // f AS col, round(min(margin), 6) AS lo, round(max(margin), 6) AS hi, round(min(budget), 6) AS budget FROM b, l GROUP BY 1, 2, 3""",
+    "point_in_polygon": """WITH p AS (SELECT o_orderkey AS id, CAST((o_orderkey * 31) % 1000 AS DOUBLE) / 10 + 0.05 AS x, CAST((o_orderkey * 17) % 1000 AS DOUBLE) / 10 + 0.05 AS y FROM orders),
+s(x1, y1, x2, y2) AS (VALUES (10.0, 10.0, 90.0, 20.0), (90.0, 20.0, 80.0, 90.0), (80.0, 90.0, 50.0, 40.0), (50.0, 40.0, 20.0, 80.0), (20.0, 80.0, 10.0, 10.0))
+SELECT id, sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM p, s GROUP BY id""",
+    "sweep": f"""WITH n AS (SELECT n_nationkey AS n, CAST((n_nationkey % 5 + 1.5) * 3600 AS BIGINT) AS every FROM nation), s AS (SELECT n, every, unnest(range(0, 12)) AS step FROM n)
+SELECT concat('run', CAST(n AS VARCHAR), '_', lpad(CAST(step AS VARCHAR), 2, '0')) AS name, {T0} + every * step AS start_time FROM s""",
+    "navmap_decide": f"""WITH {BASE}, l AS (SELECT CAST(v AS INTEGER) AS level, CAST(power(2, v) AS BIGINT) AS f FROM range(0, 4) t(v)),
+y AS (SELECT level, row // f AS row, col // f AS col, min(margin) AS lo, max(margin) AS hi, min(budget) AS budget FROM b, l GROUP BY 1, 2, 3),
+p AS (SELECT o_orderkey AS id, (o_orderkey * 7) % 30 AS row, (o_orderkey * 11) % 70 AS col FROM orders),
+f AS (SELECT p.id, l.level, y.lo, y.hi, y.budget FROM p CROSS JOIN l LEFT JOIN y ON y.level = l.level AND y.row = p.row // l.f AND y.col = p.col // l.f),
+d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level DESC) AS n FROM f WHERE lo IS NULL OR lo >= 0 OR hi < 0 OR level = 0)
+SELECT id, coalesce(lo >= 0, FALSE) AS legal, round(CASE WHEN lo >= 0 THEN budget ELSE 0 END, 6) AS budget, level FROM d WHERE n = 1""",
+}
+
+
+def queries() -> dict[str, Query]:
+    found = [
+        cube_dense, sample_trilinear, vector_sample, quantise, quantise_error, bbox_dateline, thin, stride, uniform_step,
+        rate_midpoint, chunks, union_time, nearest_time, percentile_limits, inventory, haversine, bearing, destination_point,
+        leg_lengths, track_summary, bracket_interp, voyage_track, components, bottleneck_width, multi_source_distance,
+        pyramid, navmap_decide, point_in_polygon, sweep,
+    ]
+    return {f.__name__: f for f in found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
