@@ -8,7 +8,7 @@ than scanning. Frequent n-grams, found over all documents, come last in the orde
 
 Only groups are returned, so a list of m sets isn't expanded into m*m pairs: each set is first verified against the
 list's centre; pairs between sets that this has joined need no test, and all remaining pairs of different components
-are tested. No list or group is cut off, and no link between components is missed.
+are tested, unless their sizes, places or parities rule a link out. No list or group is cut off, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from tidalgrid.llm.common import BASE_A, LOWER, Scratch, WordHashes, as_long, by
 FREQUENT = 50_000
 #: Enumeration is considered up to this size of a set.
 MOST_LIGHT = 20
+PARITIES = ["p0", "p1", "p2", "p3"]
 
 
 def needed(s: int, t: int, percent: int) -> int:
@@ -55,6 +56,12 @@ def boundary(percent: int, list_length: float) -> int:
     return best
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """256 bits: whether an odd number of elements falls into each bucket. Where two sets' bits differ, so do the sets."""
+    counts = np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=256)
+    return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
+
+
 def text_set(text: bytes, n: int, table: WordHashes) -> np.ndarray:
     words = text.translate(LOWER).split()
     if not words:
@@ -101,7 +108,7 @@ def frequent(docs: DataFrame, n: int) -> DataFrame:
 
 
 def keys(docs: DataFrame, n: int, percent: int, last: np.ndarray, light: int) -> DataFrame:
-    """doc_id, size, digest, keys: what each document's set is looked up by. ``last``: grams by rising frequency."""
+    """doc_id, size, digest, keys, p0 to p3: what each document's set is looked up by, and its parities. ``last``: grams by rising frequency."""
     order = np.argsort(last, kind="stable")
     by_value, rank = last[order], order
 
@@ -130,11 +137,12 @@ def keys(docs: DataFrame, n: int, percent: int, last: np.ndarray, light: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            sizes, digests, found = [], [], []
+            sizes, digests, found, bits = [], [], [], []
             for text in bytes_column(batch.column(1)):
                 grams = text_set(text, n, table)
                 s = len(grams)
                 sizes.append(s)
+                bits.append(parities(grams))
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()) if s else None)
                 mine = []
                 if s and 100 * s > percent * light:  # a partner may be heavy
@@ -145,11 +153,11 @@ def keys(docs: DataFrame, n: int, percent: int, last: np.ndarray, light: int) ->
             ends = np.cumsum([0, *map(len, found)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists],
-                names=["doc_id", "size", "digest", "keys"],
+                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(c) for c in np.array(bits, np.int64).reshape(-1, 4).T)],
+                names=["doc_id", "size", "digest", "keys", *PARITIES],
             )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, size long, digest binary, keys array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, size long, digest binary, keys array<long>, p0 long, p1 long, p2 long, p3 long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -218,8 +226,18 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, light: in
         enough = F.ceil((F.col(sa) + F.col(sb)) * percent / (100.0 + percent) - 1e-6)
         return (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb)) & (F.least(F.col(sa) - F.col(ia), F.col(sb) - F.col(ib)) >= enough)
 
+    def alike(a: str, b: str, sa: str, sb: str) -> F.Column:
+        """The sets' parities differ in no more places than linked sets may differ in elements."""
+        enough = F.ceil((F.col(sa) + F.col(sb)) * percent / (100.0 + percent) - 1e-6)
+        return sum(F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in PARITIES) <= F.col(sa) + F.col(sb) - 2 * enough
+
+    def marked(side: str) -> DataFrame:
+        return base.where("size > 0").select(F.col("doc_id").alias(side), *[F.col(p).alias(f"{side}{p}") for p in PARITIES])
+
     stars = lists.where("id <> c.id").select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.size").alias("sa"), F.col("c.at").alias("ia"), F.col("size").alias("sb"), F.col("at").alias("ib"))
-    tried = scratch.save(stars.where(possible("sa", "ia", "sb", "ib")).select("a", "b").distinct(), "stars")
+    stars = stars.where(possible("sa", "ia", "sb", "ib")).select("a", "b", "sa", "sb").distinct()
+    stars = stars.join(marked("a"), "a").join(marked("b"), "b").where(alike("a", "b", "sa", "sb"))
+    tried = scratch.save(stars.select("a", "b").distinct(), "stars")
     links = scratch.save(verified(docs, tried, n, percent), "star-links")
     groups = components(scratch, links, "star")
     tidy(docs.sparkSession)
@@ -228,17 +246,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, light: in
     open_ = lists.select("key", "id", "size", "at", "reach").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *bounds).where("x <> y")
     open_ = scratch.save(open_.join(mixed.select("key", "least", "far"), "key").where(useful).drop("least", "far"), "open")
+    marks = base.where("size > 0").select(F.col("doc_id").alias("id"), *PARITIES)
+    open_ = scratch.save(open_.join(marks, "id"), "open-marked")
     sides = open_.select("key", "comp").distinct()
     across = sides.select("key", F.col("comp").alias("ca")).join(sides.select("key", F.col("comp").alias("cb")), "key").where("ca < cb")
-    one = open_.select("key", F.col("comp").alias("ca"), F.col("id").alias("a"), F.col("size").alias("sa"), F.col("at").alias("ia"))
-    two = open_.select("key", F.col("comp").alias("cb"), F.col("id").alias("b"), F.col("size").alias("sb"), F.col("at").alias("ib"))
-    rest = across.join(one, ["key", "ca"]).join(two, ["key", "cb"]).where(possible("sa", "ia", "sb", "ib"))
+    one = open_.select("key", F.col("comp").alias("ca"), F.col("id").alias("a"), F.col("size").alias("sa"), F.col("at").alias("ia"), *[F.col(p).alias(f"a{p}") for p in PARITIES])
+    two = open_.select("key", F.col("comp").alias("cb"), F.col("id").alias("b"), F.col("size").alias("sb"), F.col("at").alias("ib"), *[F.col(p).alias(f"b{p}") for p in PARITIES])
+    rest = across.join(one, ["key", "ca"]).join(two, ["key", "cb"]).where(possible("sa", "ia", "sb", "ib") & alike("a", "b", "sa", "sb"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = scratch.save(rest, "rest")
     if rest.limit(1).count():
         more = scratch.save(verified(docs, rest, n, percent), "rest-links")
         groups = components(scratch, links.unionByName(more), "all")
-    scratch.drop("frequent", "lists", "stars", "open", "rest", "star-edges")
+    scratch.drop("frequent", "lists", "stars", "open", "open-marked", "rest", "star-edges")
     tidy(docs.sparkSession)
     return (
         base.select("doc_id", F.col("size").alias("n_shingles"), "digest")

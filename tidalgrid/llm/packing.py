@@ -9,7 +9,9 @@ per task, and a document's rank tells its pattern, sequence and offset by arithm
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,35 +23,57 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidalgrid.llm.common import Scratch
-from tidalgrid.llm.token_counts import ODD, UNIT
+from tidalgrid.llm.token_counts import byte_alphabet
 
 CAPACITY = 1024
 
+#: How byte-level BPE cuts texts into pieces (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 
 class Encoder:
-    """Texts to little-endian 32-bit ids; the ids of repeated words are kept in a bounded table."""
+    """Whole texts to little-endian 32-bit ids of a byte-level BPE file of the ``tokenizers`` library.
 
-    def __init__(self, path: str, most: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task keeps to its own core
-        from tokenizers import Tokenizer
+    If the file's ids follow the order of its merges, the vocabulary is handed to the faster ``tiktoken``, special
+    strings being cut out first; otherwise the library itself encodes.
+    """
 
-        self.model, self.most, self.units = Tokenizer.from_file(path), most, {}
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task keeps to its own core
+        spec = json.load(open(path, encoding="utf-8"))
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        alphabet = byte_alphabet()
+        raw = lambda token: bytes(alphabet[c] for c in token)
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in model.get("merges", [])]
+        made = [model["vocab"].get(a + b, -1) for a, b in pairs]
+        plain = model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        plain = plain and not spec.get("normalizer") and not model.get("ignore_merges") and made == sorted(made)
+        self.fast = self.model = None
+        self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens", [])}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        if plain:
+            import tiktoken
+
+            ranks = {raw(k): v for k, v in model["vocab"].items() if all(c in alphabet for c in k) and k not in self.special}
+            self.fast = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        else:
+            from tokenizers import Tokenizer
+
+            self.model = Tokenizer.from_file(path)
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if ODD.search(t) else UNIT.findall(t) for t in texts]
-        units, new = self.units, {}
-        for s in split:
-            for u in s:
-                if u not in units:
-                    new[u] = None
-        fresh = list(new)
-        for u, e in zip(fresh, self.model.encode_batch(fresh, add_special_tokens=False)):
-            new[u] = np.array(e.ids, "<u4").tobytes()
-        for u in fresh[: max(0, self.most - len(units))]:
-            if len(u) < 64:
-                units[u] = new[u]
-        look = units.get
-        return [b"".join([look(u) or new.get(u, b"") for u in s]) for s in split]
+        if self.fast is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        out = []
+        for text in texts:
+            if self.cut is None or not self.cut.search(text):
+                out.append(self._plain(text))
+            else:
+                out.append(b"".join(self.special.get(part) or self._plain(part) for part in self.cut.split(text) if part))
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -41,7 +41,7 @@ def changes(counts: list[int]) -> bytes:
     return bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins that byte-level vocabularies use for bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -58,7 +58,7 @@ class PrefixCounter:
         spec = json.load(open(path, encoding="utf-8"))
         if spec["model"]["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
             raise ValueError("a byte-level BPE vocabulary without a normaliser is needed")
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         raw = lambda token: bytes(alphabet[c] for c in token)
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.vocab = {raw(k): v for k, v in spec["model"]["vocab"].items() if all(c in alphabet for c in k)}
