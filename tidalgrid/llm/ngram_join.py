@@ -8,7 +8,8 @@ than scanning. Frequent n-grams, found over all documents, come last in the orde
 
 Only groups are returned, so a list of m sets isn't expanded into m*m pairs: each set is first verified against the
 list's centre; pairs between sets that this has joined need no test, and all remaining pairs of different components
-are tested, unless their sizes, places or parities rule a link out. No list or group is cut off, and no link between components is missed.
+are tested, unless their sizes, places or parities rule a link out. No list or group is cut off, and no link between
+components is missed. Sides that grow with the corpus are merge-joined at every size, never broadcast.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
                 keep.append(same > 0 and 100 * same >= percent * (len(z) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = docs.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
     held = texts.mapInArrow(sets, "id long, grams binary")
     left = pairs.join(held.withColumnsRenamed({"id": "a", "grams": "x"}), "a")
     both = left.join(held.withColumnsRenamed({"id": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
@@ -208,7 +209,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, light: in
     base = scratch.save(keys(docs, n, percent, last, light), "keys")
     classes = base.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = scratch.save(classes, "classes")
-    reps = base.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = base.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     postings = reps.select(F.col("doc_id").alias("id"), "size", F.posexplode("keys").alias("at", "key"))
     postings = postings.withColumn("at", F.when(F.col("size") > light, F.col("at")).otherwise(0))
     # if this element is the first that two sets share, the other set has at most ``reach`` elements
@@ -217,8 +218,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, light: in
     bounds = [F.min("size").alias("least"), F.max("reach").alias("far")]
     useful = (F.col("reach") >= F.col("least")) & (F.col("size") <= F.col("far"))
     # the centre is the set with the fewest elements before the shared one, so the closest to what is common
-    centres = postings.groupBy("key").agg(F.min(F.struct("at", "id", "size")).alias("c"), F.min("id").alias("x"), F.max("id").alias("y"), *bounds).where("x <> y")
-    lists = postings.join(centres.select("key", "c", "least", "far"), "key").where(useful).drop("least", "far")
+    centres = postings.groupBy("key").agg(F.min(F.struct("at", "id", "size")).alias("c"), F.count(F.lit(1)).alias("n"), *bounds).where("n > 1")
+    lists = postings.join(centres.select("key", "c", "least", "far").hint("merge"), "key").where(useful).drop("least", "far")
     lists = scratch.save(lists, "lists")
 
     def possible(sa: str, ia: str, sb: str, ib: str) -> F.Column:
@@ -248,8 +249,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, light: in
     open_ = scratch.save(open_.join(mixed.select("key", "least", "far"), "key").where(useful).drop("least", "far"), "open")
     marks = base.where("size > 0").select(F.col("doc_id").alias("id"), *PARITIES)
     open_ = scratch.save(open_.join(marks, "id"), "open-marked")
-    sides = open_.select("key", "comp").distinct()
-    across = sides.select("key", F.col("comp").alias("ca")).join(sides.select("key", F.col("comp").alias("cb")), "key").where("ca < cb")
+    # pairs of components in a list: their sizes and reaches must allow a link, and single sets be alike
+    sides = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("s"), *bounds, *[F.first(p).alias(p) for p in PARITIES])
+    left, right = (sides.select("key", F.col("comp").alias(f"c{x}"), *[F.col(c).alias(f"{x}{c}") for c in ("n", "s", "least", "far", *PARITIES)]) for x in "ab")
+    feasible = (F.col("ca") < F.col("cb")) & (F.col("afar") >= F.col("bleast")) & (F.col("bfar") >= F.col("aleast"))
+    feasible &= (F.col("an") > 1) | (F.col("bn") > 1) | alike("a", "b", "as", "bs")
+    across = left.join(right, "key").where(feasible).select("key", "ca", "cb")
     one = open_.select("key", F.col("comp").alias("ca"), F.col("id").alias("a"), F.col("size").alias("sa"), F.col("at").alias("ia"), *[F.col(p).alias(f"a{p}") for p in PARITIES])
     two = open_.select("key", F.col("comp").alias("cb"), F.col("id").alias("b"), F.col("size").alias("sb"), F.col("at").alias("ib"), *[F.col(p).alias(f"b{p}") for p in PARITIES])
     rest = across.join(one, ["key", "ca"]).join(two, ["key", "cb"]).where(possible("sa", "ia", "sb", "ib") & alike("a", "b", "sa", "sb"))

@@ -102,10 +102,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
         seen = [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            cols: list[list] = [[] for _ in range(7)]
-            for lo in range(0, len(ids), 256):
-                for doc, data in zip(ids[lo : lo + 256], made.batch([t or "" for t in texts[lo : lo + 256]])):
+            for lo in range(0, batch.num_rows, 512):  # a slice at a time, to keep little in memory
+                part = batch.slice(lo, 512)
+                cols: list[list] = [[] for _ in range(7)]
+                for doc, data in zip(part.column(0).to_pylist(), made.batch([t or "" for t in part.column(1).to_pylist()])):
                     data += end
                     n = len(data) // 4
                     for start, size in cuts(n, capacity):
@@ -113,8 +113,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                         seen[size] += 1
                         for c, v in zip(cols, row):
                             c.append(v)
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"])
+                kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
