@@ -244,20 +244,23 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, light: in
     tidy(docs.sparkSession)
 
     labels = groups.withColumnRenamed("component", "comp")
-    open_ = lists.select("key", "id", "size", "at", "reach").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_ = lists.select("key", "id", "size", "at", "reach").join(labels.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *bounds).where("x <> y")
-    open_ = scratch.save(open_.join(mixed.select("key", "least", "far"), "key").where(useful).drop("least", "far"), "open")
+    open_ = scratch.save(open_.join(mixed.select("key", "least", "far").hint("merge"), "key").where(useful).drop("least", "far"), "open")
     marks = base.where("size > 0").select(F.col("doc_id").alias("id"), *PARITIES)
-    open_ = scratch.save(open_.join(marks, "id"), "open-marked")
+    open_ = scratch.save(open_.join(marks.hint("merge"), "id"), "open-marked")
     # pairs of components in a list: their sizes and reaches must allow a link, and single sets be alike
     sides = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("s"), *bounds, *[F.first(p).alias(p) for p in PARITIES])
     left, right = (sides.select("key", F.col("comp").alias(f"c{x}"), *[F.col(c).alias(f"{x}{c}") for c in ("n", "s", "least", "far", *PARITIES)]) for x in "ab")
     feasible = (F.col("ca") < F.col("cb")) & (F.col("afar") >= F.col("bleast")) & (F.col("bfar") >= F.col("aleast"))
     feasible &= (F.col("an") > 1) | (F.col("bn") > 1) | alike("a", "b", "as", "bs")
-    across = left.join(right, "key").where(feasible).select("key", "ca", "cb")
-    one = open_.select("key", F.col("comp").alias("ca"), F.col("id").alias("a"), F.col("size").alias("sa"), F.col("at").alias("ia"), *[F.col(p).alias(f"a{p}") for p in PARITIES])
-    two = open_.select("key", F.col("comp").alias("cb"), F.col("id").alias("b"), F.col("size").alias("sb"), F.col("at").alias("ib"), *[F.col(p).alias(f"b{p}") for p in PARITIES])
-    rest = across.join(one, ["key", "ca"]).join(two, ["key", "cb"]).where(possible("sa", "ia", "sb", "ib") & alike("a", "b", "sa", "sb"))
+    across = left.join(right, "key").where(feasible).drop("an", "as", "aleast", "afar", *[f"a{p}" for p in PARITIES])
+    # members of one side meet the other side's bounds first, and its parities if that is a single set
+    one = open_.select("key", F.col("comp").alias("ca"), F.col("id").alias("a"), F.col("size").alias("sa"), F.col("at").alias("ia"), F.col("reach").alias("ra"), *[F.col(p).alias(f"a{p}") for p in PARITIES])
+    two = open_.select("key", F.col("comp").alias("cb"), F.col("id").alias("b"), F.col("size").alias("sb"), F.col("at").alias("ib"), *[F.col(p).alias(f"c{p}") for p in PARITIES])
+    half = across.join(one, ["key", "ca"]).where((F.col("ra") >= F.col("bleast")) & (F.col("sa") <= F.col("bfar")) & ((F.col("bn") > 1) | alike("a", "b", "sa", "bs")))
+    half = half.select("key", "cb", "a", "sa", "ia", *[f"a{p}" for p in PARITIES])
+    rest = half.join(two, ["key", "cb"]).where(possible("sa", "ia", "sb", "ib") & alike("a", "c", "sa", "sb"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = scratch.save(rest, "rest")
     if rest.limit(1).count():
