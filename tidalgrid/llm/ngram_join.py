@@ -31,6 +31,8 @@ FREQUENT = 50_000
 #: Enumeration is considered up to this size of a set.
 MOST_LIGHT = 20
 PARITIES = ["p0", "p1", "p2", "p3"]
+#: Up to this size of a set its parities rule out about all that its histogram would, so it has none.
+PARITY_ENOUGH = 200
 
 
 def needed(s: int, t: int, percent: int) -> int:
@@ -63,6 +65,11 @@ def parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
 
 
+def histogram(grams: np.ndarray) -> bytes:
+    """How many elements fall into each of 256 buckets, 255 at most. Two sets differ in as many elements as these do."""
+    return np.minimum(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def text_set(text: bytes, n: int, table: WordHashes) -> np.ndarray:
     words = text.translate(LOWER).split()
     if not words:
@@ -109,7 +116,7 @@ def frequent(docs: DataFrame, n: int) -> DataFrame:
 
 
 def keys(docs: DataFrame, n: int, percent: int, last: np.ndarray, light: int) -> DataFrame:
-    """doc_id, size, digest, keys, p0 to p3: what each document's set is looked up by, and its parities. ``last``: grams by rising frequency."""
+    """doc_id, size, digest, keys, p0 to p3, counts: what each document's set is looked up by, its parities and histogram. ``last``: grams by rising frequency."""
     order = np.argsort(last, kind="stable")
     by_value, rank = last[order], order
 
@@ -138,12 +145,13 @@ def keys(docs: DataFrame, n: int, percent: int, last: np.ndarray, light: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            sizes, digests, found, bits = [], [], [], []
+            sizes, digests, found, bits, counts = [], [], [], [], []
             for text in bytes_column(batch.column(1)):
                 grams = text_set(text, n, table)
                 s = len(grams)
                 sizes.append(s)
                 bits.append(parities(grams))
+                counts.append(histogram(grams) if s > PARITY_ENOUGH else None)
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()) if s else None)
                 mine = []
                 if s and 100 * s > percent * light:  # a partner may be heavy
@@ -154,11 +162,27 @@ def keys(docs: DataFrame, n: int, percent: int, last: np.ndarray, light: int) ->
             ends = np.cumsum([0, *map(len, found)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(c) for c in np.array(bits, np.int64).reshape(-1, 4).T)],
-                names=["doc_id", "size", "digest", "keys", *PARITIES],
+                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(c) for c in np.array(bits, np.int64).reshape(-1, 4).T), pa.array(counts, pa.binary())],
+                names=["doc_id", "size", "digest", "keys", *PARITIES, "counts"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, size long, digest binary, keys array<long>, p0 long, p1 long, p2 long, p3 long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, size long, digest binary, keys array<long>, p0 long, p1 long, p2 long, p3 long, counts binary")
+
+
+def plausible(base: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose histograms differ in no more elements than linked sets may; rules out most pairs of large sets."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                differ = 0 if x is None or y is None else int(np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).sum())
+                keep.append(differ <= s + t - 2 * needed(s, t, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (base.where("size > 0 and doc_id is not null").select(F.col("doc_id").alias(x), F.col("size").alias(f"s{x}"), F.col("counts").alias(f"h{x}")) for x in "ab")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb", "ha", "hb")
+    return both.mapInArrow(test, "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -221,6 +245,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, light: in
     centres = postings.groupBy("key").agg(F.min(F.struct("at", "id", "size")).alias("c"), F.count(F.lit(1)).alias("n"), *bounds).where("n > 1")
     lists = postings.join(centres.select("key", "c", "least", "far").hint("merge"), "key").where(useful).drop("least", "far")
     lists = scratch.save(lists, "lists")
+    tidy(docs.sparkSession)
 
     def possible(sa: str, ia: str, sb: str, ib: str) -> F.Column:
         """Length bound, and positional bound for a shared element that is the first of both."""
@@ -239,7 +264,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, light: in
     stars = stars.where(possible("sa", "ia", "sb", "ib")).select("a", "b", "sa", "sb").distinct()
     stars = stars.join(marked("a"), "a").join(marked("b"), "b").where(alike("a", "b", "sa", "sb"))
     tried = scratch.save(stars.select("a", "b").distinct(), "stars")
-    links = scratch.save(verified(docs, tried, n, percent), "star-links")
+    likely = scratch.save(plausible(base, tried, percent).distinct(), "star-likely")
+    tidy(docs.sparkSession)
+    links = scratch.save(verified(docs, likely, n, percent), "star-links")
     groups = components(scratch, links, "star")
     tidy(docs.sparkSession)
 
@@ -262,11 +289,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, light: in
     half = half.select("key", "cb", "a", "sa", "ia", *[f"a{p}" for p in PARITIES])
     rest = half.join(two, ["key", "cb"]).where(possible("sa", "ia", "sb", "ib") & alike("a", "c", "sa", "sb"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = scratch.save(rest, "rest")
+    rest = scratch.save(plausible(base, rest, percent).distinct(), "rest")
+    scratch.drop("lists", "open", "open-marked")
+    tidy(docs.sparkSession)
     if rest.limit(1).count():
         more = scratch.save(verified(docs, rest, n, percent), "rest-links")
         groups = components(scratch, links.unionByName(more), "all")
-    scratch.drop("frequent", "lists", "stars", "open", "open-marked", "rest", "star-edges")
+    scratch.drop("frequent", "stars", "star-likely", "rest", "star-edges")
     tidy(docs.sparkSession)
     return (
         base.select("doc_id", F.col("size").alias("n_shingles"), "digest")
