@@ -230,6 +230,25 @@ def test_audio_alignment(spark):
     assert got[53]["class_id"] == 50 and got[52]["best_id"] is None and got[55]["n_frames"] == 0 and len(got) == 7
 
 
+def test_audio_votes_of_repeated_passages(spark):
+    draw = np.random.default_rng(3)
+    a, b, c = (draw.uniform(-1, 1, n).tolist() for n in (30, 20, 40))
+    songs = [(50, b + c), (51, a + c + b + c), (100, [0.3] * 40), (101, [0.3] * 60)]
+    media = audio_fingerprint.synthetic_media(spark.createDataFrame(songs, "vec_id long, embedding array<double>"))
+    got = {r["id"]: r for r in audio_fingerprint.align(media).collect()}
+    assert (got[50]["best_id"], got[50]["best_offset"], got[50]["bit_errors"]) == (51, 70, 0.0)
+    assert (got[100]["best_id"], got[100]["best_offset"], got[100]["bit_errors"]) == (101, 0, 0.0)
+
+
+def test_audio_offset_votes_match_counting():
+    draw = np.random.default_rng(4)
+    for n, m, k in ((1, 1, 1), (30, 50, 2), (50, 7, 3), (40, 40, 20)):
+        x, y = draw.integers(0, k, n).astype(np.uint32), draw.integers(0, k, m).astype(np.uint32)
+        got = audio_fingerprint.offset_votes(x, y, 5)
+        for shift in range(-n, m + 1):
+            assert got[shift + n] == sum(x[i] == y[i + shift] for i in range(n) if 0 <= i + shift < m)
+
+
 def test_toxicity_learns_and_leaves_out_held_rows(spark):
     draw = random.Random(4)
     calm = [f"word{k}" for k in range(300)]

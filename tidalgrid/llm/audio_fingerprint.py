@@ -1,8 +1,8 @@
 """Chroma audio fingerprints.
 
 A recording is cut into frames whose spectrum is folded onto the twelve pitch classes. Over the integral image of that
-chroma picture, sixteen rectangle filters are each quantised to two bits, so each frame gives a 32-bit integer. Equal
-integers of two recordings vote for the difference of their places; the best difference of this offset histogram is
+chroma picture, sixteen rectangle filters are each quantised to two bits, so each frame gives a 32-bit integer. All
+equal integers of two recordings vote for the difference of their places; the differences of this offset histogram are
 verified by the share of bits that differ along the alignment.
 """
 
@@ -88,12 +88,58 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return media.select("id", "data").mapInArrow(run, "id long, n_frames long, code binary")
 
 
+def runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Value, start and length of the runs of equal integers."""
+    start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    return code[start], start, np.diff(np.r_[start, len(code)])
+
+
+def offset_votes(x: np.ndarray, y: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """How many places i of x have x[i] == y[i + shift], for shift from -len(x) on.
+
+    Two runs of one value vote for a trapezoid of shifts, which four second differences hold; ``most`` pairs of runs are
+    held at a time.
+    """
+    (value, start, length), (values, starts, lengths) = runs(x), runs(y)
+    order = np.argsort(values, kind="stable")
+    values, starts, lengths = values[order], starts[order], lengths[order]
+    low = np.searchsorted(values, value)
+    each = np.searchsorted(values, value, "right") - low
+    ends = np.cumsum(each)
+    bends = np.zeros(len(x) + len(y) + 2, np.int64)
+    for k in range(0, int(ends[-1]), most):
+        pair = np.arange(k, min(k + most, int(ends[-1])))
+        a = np.searchsorted(ends, pair, "right")
+        b = low[a] + pair - (ends[a] - each[a])
+        at, m, n = starts[b] - start[a] - length[a] + 1 + len(x), length[a], lengths[b]
+        for place, sign in ((at, 1), (at + m, -1), (at + n, -1), (at + m + n, 1)):
+            bends += sign * np.bincount(place, minlength=len(bends))
+    return bends.cumsum().cumsum()
+
+
+def best_shift(x: np.ndarray, y: np.ndarray, least_votes: int, most_errors: float) -> tuple[int, float] | None:
+    """The shift of most votes (then least bit errors, least distance) among those that pass both bounds, and its errors."""
+    votes = offset_votes(x, y)
+    for n_votes in np.unique(votes[votes >= max(1, least_votes)])[::-1]:
+        passed = []
+        for shift in (np.flatnonzero(votes == n_votes) - len(x)).tolist():
+            a, b = x[max(0, -shift) :], y[max(0, shift) :]
+            n = min(len(a), len(b))
+            error = float(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n)
+            if error <= most_errors:
+                passed.append((error, abs(shift), -shift))
+        if passed:
+            return -min(passed)[2], min(passed)[0]
+    return None
+
+
 def align(media: DataFrame, every: int = 50, least_votes: int = 4, most_errors: float = 0.35) -> DataFrame:
     """id, n_frames, code_crc32, class_id, best_id, best_offset, bit_errors for every row of media(id, data).
 
     Recordings of equal fingerprints are a class, named by its smallest id. Queries are the classes that hold an id
     divisible by ``every``; they are searched among all classes, and their best other match (least bit errors, then
-    smallest id) is given, if its bit errors are at most ``most_errors`` and ``least_votes`` places agree. Broken, null
+    smallest id) is given, if its bit errors are at most ``most_errors`` and ``least_votes`` places agree. All places
+    vote, and the offset of a match is the one of most votes among all that pass both bounds. Broken, null
     or short recordings have no fingerprint, a class of their own and no match; a null id is returned with nulls;
     repeated rows are in one class; other columns are not read.
     """
@@ -104,33 +150,37 @@ def align(media: DataFrame, every: int = 50, least_votes: int = 4, most_errors:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [np.frombuffer(c, "<u4") for c in batch.column(1).to_pylist()]
-            sizes = [len(c) for c in codes]
+            found = [np.unique(np.frombuffer(c, "<u4"), return_counts=True) for c in batch.column(1).to_pylist()]
+            sizes = [len(v) for v, _ in found]
+            values, counts = (np.concatenate([f[k] for f in found] or [[]]) for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.concatenate([np.arange(n) for n in sizes] or [[]]).astype(np.int32)), pa.array((np.concatenate(codes) if codes else np.empty(0)).astype(np.int64)), pa.array(np.repeat(batch.column(2).to_numpy(), sizes))],
-                names=["class_id", "at", "value", "query"],
+                [pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int32)), pa.array(np.repeat(batch.column(2).to_numpy(), sizes))],
+                names=["class_id", "value", "places", "query"],
             )
 
-    places = groups.select("class_id", "code", "query").mapInArrow(unpack, "class_id long, at int, value long, query int")
-    # a value counts once a class and place difference; runs of one value vote by their first place
-    places = scratch.save(places.groupBy("class_id", "value", "query").agg(F.min("at").alias("at")), "places")
-    asked = places.where("query = 1").select(F.col("class_id").alias("q"), F.col("at").alias("qa"), "value")
-    votes = asked.join(places.select("class_id", "at", "value"), "value").where("q <> class_id").groupBy("q", "class_id", (F.col("at") - F.col("qa")).alias("shift")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= least_votes)
-    best = votes.groupBy("q", "class_id").agg(F.max_by("shift", F.struct("votes", -F.abs("shift"), "shift")).alias("shift"))
+    places = groups.select("class_id", "code", "query").mapInArrow(unpack, "class_id long, value long, places int, query int")
+    places = scratch.save(places, "places")
+    asked = places.where("query = 1").select(F.col("class_id").alias("q"), F.col("places").alias("asked"), "value")
+    # at one shift a place meets one place at most, so the smaller counts of each value bound the votes
+    shared = asked.join(places.select("class_id", "places", "value"), "value").where("q <> class_id").groupBy("q", "class_id")
+    pairs = shared.agg(F.sum(F.least("asked", "places")).alias("bound")).where(F.col("bound") >= least_votes).select("q", "class_id")
     codes = groups.select("class_id", "code")
-    pairs = best.join(codes.withColumnsRenamed({"class_id": "q", "code": "x"}), "q").join(codes.withColumnsRenamed({"code": "y"}), "class_id")
+    pairs = pairs.join(codes.withColumnsRenamed({"class_id": "q", "code": "x"}), "q").join(codes.withColumnsRenamed({"code": "y"}), "class_id")
 
-    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for shift, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                a, b = a[max(0, -shift) :], b[max(0, shift) :]
-                n = min(len(a), len(b))
-                out.append(float(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.float64())], names=["q", "class_id", "shift", "bit_errors"])
-
-    tested = pairs.select("q", "class_id", "shift", "x", "y").mapInArrow(errors, "q long, class_id long, shift int, bit_errors double").where(F.col("bit_errors") <= most_errors)
+            found = []
+            for q, c, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                made = best_shift(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least_votes, most_errors)
+                if made is not None:
+                    found.append((q, c, *made))
+            ids = [pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*ids, pa.array([r[2] for r in found], pa.int32()), pa.array([r[3] for r in found], pa.float64())],
+                names=["q", "class_id", "shift", "bit_errors"],
+            )
+
+    tested = pairs.select("q", "class_id", "x", "y").mapInArrow(verify, "q long, class_id long, shift int, bit_errors double")
     top = tested.groupBy("q").agg(F.min(F.struct("bit_errors", "class_id", "shift")).alias("best"))
     crc = lambda c: F.crc32(c)
     return (
