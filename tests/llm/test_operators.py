@@ -1,8 +1,10 @@
 """Each operator against brute force on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import hashlib
+import io
 import random
 import re
+import wave
 import zlib
 from collections import defaultdict
 
@@ -240,6 +242,46 @@ def test_audio_votes_of_repeated_passages(spark):
     assert (got[100]["best_id"], got[100]["best_offset"], got[100]["bit_errors"]) == (101, 0, 0.0)
 
 
+def wav(pcm, width=2, channels=1, rate=2000):
+    file = io.BytesIO()
+    with wave.open(file, "wb") as f:
+        f.setparams((channels, width, rate, 0, "NONE", ""))
+        f.writeframes(pcm)
+    return bytearray(file.getvalue())
+
+
+def test_audio_clips_cut_at_any_sample(spark):
+    song = np.random.default_rng(5).uniform(-1, 1, 90).tolist()
+    made = audio_fingerprint.synthetic_media(spark.createDataFrame([(1, song)], "vec_id long, embedding array<double>")).first()["data"]
+    whole = audio_fingerprint.samples(bytes(made))[1].astype("<i2")
+    cuts = {50 * (k + 1): at for k, at in enumerate((0, 17, 32, 64, 100, 128, 161, 255))}
+    media = [(1, made)] + [(i, wav(whole[2560 + at : 2560 + at + 60 * 256].tobytes())) for i, at in cuts.items()]
+    alone = {}
+    for i, clip in media[1:]:
+        alone[i] = audio_fingerprint.best_shift(*(audio_fingerprint.fingerprint(audio_fingerprint.chroma(bytes(d))) for d in (clip, made)), 4, 0.35)
+    for i, at in cuts.items():
+        assert abs(alone[i][0] - 4 * (10 + at / 256)) <= 0.6 and alone[i][1] < 0.2
+    got = {r["id"]: r for r in audio_fingerprint.align(spark.createDataFrame([media[0], media[6]], "id long, data binary")).collect()}
+    assert (got[300]["best_id"], got[300]["best_offset"], got[300]["bit_errors"]) == (1, 10.5, 0.0)
+
+
+def test_audio_formats():
+    pcm = (np.random.default_rng(6).uniform(-1, 1, 9000) * 30000).astype("<i2")
+    want = audio_fingerprint.fingerprint(audio_fingerprint.chroma(bytes(wav(pcm.tobytes()))))
+    assert len(want) > 50
+    wide = np.zeros((len(pcm), 3), np.uint8)
+    wide[:, 1:] = pcm.view(np.uint8).reshape(-1, 2)
+    exact = [wav(np.repeat(pcm, 2).tobytes(), 2, 2), wav(wide.tobytes(), 3), wav((pcm.astype("<i4") << 16).tobytes(), 4)]
+    real = wav((pcm / 2.0**15).astype("<f4").tobytes(), 4)
+    real[20] = 3
+    for data in [*exact, real]:
+        assert (audio_fingerprint.fingerprint(audio_fingerprint.chroma(bytes(data))) == want).all()
+    eight = audio_fingerprint.fingerprint(audio_fingerprint.chroma(bytes(wav(((pcm >> 8) + 128).astype(np.uint8).tobytes(), 1))))
+    assert np.bitwise_count(eight ^ want).sum() < 0.05 * 32 * len(want)
+    for bad in (b"", b"RIFF", b"noise", bytes(wav(b"")), bytes(exact[0][:30])):
+        assert len(audio_fingerprint.chroma(bad)) == 0
+
+
 def test_audio_offset_votes_match_counting():
     draw = np.random.default_rng(4)
     for n, m, k in ((1, 1, 1), (30, 50, 2), (50, 7, 3), (40, 40, 20)):

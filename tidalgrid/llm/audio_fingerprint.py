@@ -1,6 +1,6 @@
 """Chroma audio fingerprints.
 
-A recording is cut into frames whose spectrum is folded onto the twelve pitch classes. Over the integral image of that
+A recording is cut into overlapping frames whose spectrum is folded onto the twelve pitch classes. Over the integral image of that
 chroma picture, sixteen rectangle filters are each quantised to two bits, so each frame gives a 32-bit integer. All
 equal integers of two recordings vote for the difference of their places; the differences of this offset histogram are
 verified by the share of bits that differ along the alignment.
@@ -9,6 +9,7 @@ verified by the share of bits that differ along the alignment.
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
 
@@ -19,28 +20,67 @@ from pyspark.sql import functions as F
 
 from tidalgrid.llm.common import Scratch
 
-FRAME, PITCHES, WIDTH = 256, 12, 8
-#: Kind, first pitch class, height, width of the filters; kinds as in ``filtered``.
-FILTERS = [(k, p, h, w) for k, p, h, w in zip([0, 1, 2, 3] * 4, [0, 2, 4, 6, 1, 3, 5, 7, 0, 4, 2, 0, 6, 3, 0, 2], [6, 4, 6, 4, 4, 6, 4, 4, 12, 8, 10, 12, 6, 8, 10, 6], [8, 8, 6, 8, 4, 6, 8, 4, 8, 4, 8, 6, 4, 8, 8, 6])]
+#: Seconds of a frame, frames that begin in that time, and samples of a frame of the synthetic tones.
+SECONDS, OVERLAP, FRAME = 0.128, 4, 256
+PITCHES = 12
+#: Frames under the widest filter: as much time as eight frames that don't overlap.
+WIDTH = 7 * OVERLAP + 1
+#: Kind, first pitch class, height, width of the filters; kinds as in ``fingerprint``, widths given in frames that don't overlap.
+FILTERS = [(k, p, h, (w - 1) * OVERLAP + 1) for k, p, h, w in zip([0, 1, 2, 3] * 4, [0, 2, 4, 6, 1, 3, 5, 7, 0, 4, 2, 0, 6, 3, 0, 2], [6, 4, 6, 4, 4, 6, 4, 4, 12, 8, 10, 12, 6, 8, 10, 6], [8, 8, 6, 8, 4, 6, 8, 4, 8, 4, 8, 6, 4, 8, 8, 6])]
 #: Two-bit codes of the four levels; neighbours differ in one bit.
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
-def chroma(data: bytes) -> np.ndarray:
-    """Frames by pitch classes from a 16-bit mono WAV; other or broken data have no frames."""
-    try:
-        with wave.open(io.BytesIO(data)) as f:
-            if f.getsampwidth() != 2 or f.getnchannels() != 1:
-                return np.zeros((0, PITCHES))
-            rate, pcm = f.getframerate(), np.frombuffer(f.readframes(f.getnframes()), "<i2").astype(float)
-    except (wave.Error, EOFError):
+def samples(data: bytes) -> tuple[int, np.ndarray]:
+    """Rate and samples, in 16-bit units, of a WAV of 8 to 32-bit integers or floats, its channels averaged.
+
+    Other or broken data have no samples; what a cut off file still holds counts.
+    """
+    none, form, at = (1, np.empty(0)), None, 12
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return none
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        body, at = data[at + 8 : at + 8 + size], at + 8 + size + size % 2
+        if name == b"fmt " and len(body) >= 16:
+            form = struct.unpack_from("<HHIIHH", body)
+            kind = struct.unpack_from("<H", body, 24)[0] if form[0] == 0xFFFE and len(body) >= 26 else form[0]
+        elif name == b"data" and form:
+            break
+    else:
+        return none
+    channels, rate, width = form[1], form[2], (form[5] + 7) // 8
+    if not channels or not rate or (kind, width) not in {(1, 1), (1, 2), (1, 3), (1, 4), (3, 4), (3, 8)}:
+        return none
+    body = body[: len(body) // (width * channels) * width * channels]
+    if kind == 3:
+        pcm = np.nan_to_num(np.frombuffer(body, f"<f{width}").astype(float), posinf=0, neginf=0) * 2.0**15
+    elif width == 1:
+        pcm = (np.frombuffer(body, np.uint8).astype(float) - 128) * 2.0**8
+    elif width == 3:
+        wide = np.zeros((len(body) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        pcm = wide.view("<i4").ravel() / 2.0**16
+    else:
+        pcm = np.frombuffer(body, f"<i{width}") / 2.0 ** (8 * width - 16)
+    return rate, pcm.reshape(-1, channels).mean(axis=1)
+
+
+def chroma(data: bytes, block: int = 4096) -> np.ndarray:
+    """Frames by pitch classes from a WAV; a frame and the step to the next last equally long at any rate."""
+    rate, pcm = samples(data)
+    size = max(2, round(SECONDS * rate))
+    if len(pcm) < size:
         return np.zeros((0, PITCHES))
-    frames = pcm[: len(pcm) // FRAME * FRAME].reshape(-1, FRAME) * np.hanning(FRAME)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    freq = np.fft.rfftfreq(FRAME, 1 / rate)
+    most = int((len(pcm) - size) * OVERLAP / (SECONDS * rate)) + 2
+    starts = np.rint(np.arange(most) * (SECONDS * rate / OVERLAP)).astype(np.int64)
+    starts = starts[starts + size <= len(pcm)]
+    freq = np.fft.rfftfreq(size, 1 / rate)
     use = freq > 60
     pitch = np.rint(12 * np.log2(freq[use] / 440.0)).astype(int) % PITCHES
-    out = np.stack([power[:, use][:, pitch == p].sum(axis=1) for p in range(PITCHES)], axis=1)
+    fold = (pitch[:, None] == np.arange(PITCHES)).astype(float)
+    views, window = np.lib.stride_tricks.sliding_window_view(pcm, size), np.hanning(size)
+    out = np.concatenate([(np.abs(np.fft.rfft(views[starts[k : k + block]] * window, axis=1)) ** 2)[:, use] @ fold for k in range(0, len(starts), block)])
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-9)
 
 
@@ -74,11 +114,18 @@ def fingerprint(picture: np.ndarray) -> np.ndarray:
     return out
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, as a recording is far larger than its fingerprint or vector."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def fingerprints(media: DataFrame) -> DataFrame:
     """id, n_frames, code (the integers, little-endian) of media(id, data), data being WAV files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             pictures = [chroma(d or b"") for d in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array([len(p) for p in pictures], pa.int64()), pa.array([fingerprint(p).astype("<u4").tobytes() for p in pictures], pa.binary())],
@@ -141,7 +188,7 @@ def align(media: DataFrame, every: int = 50, least_votes: int = 4, most_errors:
     smallest id) is given, if its bit errors are at most ``most_errors`` and ``least_votes`` places agree. All places
     vote, and the offset of a match is the one of most votes among all that pass both bounds. Broken, null
     or short recordings have no fingerprint, a class of their own and no match; a null id is returned with nulls;
-    repeated rows are in one class; other columns are not read.
+    repeated rows are in one class; other columns are not read. ``best_offset`` is in frame lengths, a quarter the least.
     """
     scratch = Scratch(media.sparkSession, "audio")
     made = scratch.save(fingerprints(media), "codes")
@@ -187,7 +234,7 @@ def align(media: DataFrame, every: int = 50, least_votes: int = 4, most_errors:
         made.join(groups.select("code", "class_id"), "code", "left")
         .select("id", "n_frames", crc(F.col("code")).alias("code_crc32"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
         .join(top.withColumnRenamed("q", "class_id"), "class_id", "left")
-        .select("id", "n_frames", "code_crc32", "class_id", F.col("best.class_id").alias("best_id"), F.col("best.shift").alias("best_offset"), F.col("best.bit_errors").alias("bit_errors"))
+        .select("id", "n_frames", "code_crc32", "class_id", F.col("best.class_id").alias("best_id"), (F.col("best.shift") / OVERLAP).alias("best_offset"), F.col("best.bit_errors").alias("bit_errors"))
     )
 
 
@@ -197,7 +244,7 @@ def synthetic_media(vectors: DataFrame, rate: int = 2000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.arange(FRAME) / rate
         tones = np.stack([np.sin(2 * np.pi * 220.0 * 2 ** (k / 12) * t) for k in range(24)])
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for vector in batch.column(1).to_pylist():
                 x = np.nan_to_num(np.array([v or 0.0 for v in vector or []], float))
