@@ -210,6 +210,40 @@ def test_line_dedup(spark):
         assert line_dedup.similar(pair, similar, 80).count() == n
 
 
+def distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, e in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+    return row[-1]
+
+
+def test_line_dedup_loses_no_link(spark):
+    draw, lines = random.Random(8), ["subscribe to our newsletter", "Subscribe to our newsletters", "next page", "next pages", "漢字" * 30, "漢字" * 27 + "x" * 6]
+    for size in (1, 2, 3, 5, 8, 12, 20, 35):
+        for _ in range(3):
+            base = "".join(draw.choice("abcde ") for _ in range(5 * size)).strip() or "a"
+            lines.append(base)
+            for share in (0.1, 0.18, 0.25):
+                text = list(base)
+                for _ in range(int(share * len(base))):
+                    at = draw.randrange(len(text))
+                    text[at : at + 1] = draw.choice([[], ["z"], [text[at], "y"]]) or ([] if len(text) > 1 else ["z"])
+                lines.append("".join(text))
+    draw.shuffle(lines)
+    norms, top = [re.sub(r"[^\w]+", " ", x.lower()).strip() for x in lines], list(range(len(lines)))
+    for i, x in enumerate(norms):
+        for j in range(i):
+            y = norms[j]
+            longest = max(len(x), len(y))
+            if x and y and 5 * abs(len(x) - len(y)) <= longest and 5 * distance(x, y) <= longest:
+                top = [min(top[i], top[j]) if t in (top[i], top[j]) else t for t in top]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {i: int(t != i) for i, t in enumerate(top)} and 30 < sum(got.values()) < len(lines)
+
+
 def test_warc_audit(spark):
     pages = spark.range(1000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
     pages = pages.unionByName(spark.createDataFrame([(None, None, None)], "page_id long, url string, html string"))
