@@ -276,6 +276,15 @@ def test_audio_votes_of_repeated_passages(spark):
     assert (got[100]["best_id"], got[100]["best_offset"], got[100]["bit_errors"]) == (101, 0, 0.0)
 
 
+def test_warc_audit_finds_extra_records(spark):
+    pages = spark.range(600).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("page").alias("html"))
+    for more in ((600,), (5000, 5001), (100_000_000,)):
+        replica = pages.unionByName(spark.createDataFrame([(i, "u", "new") for i in more], "page_id long, url string, html string"))
+        got = warc_audit.fixity_audit(pages, replica)
+        assert sorted((r["page_id"], r["status"]) for r in got.where("status <> 'ok'").collect()) == [(i, "extra") for i in more]
+        assert got.count() == 600 + len(more)
+
+
 def wav(pcm, width=2, channels=1, rate=2000):
     file = io.BytesIO()
     with wave.open(file, "wb") as f:

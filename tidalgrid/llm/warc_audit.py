@@ -101,14 +101,17 @@ def audit(good: Tree, other: Tree, scratch: Scratch) -> DataFrame:
 def fixity_audit(pages: DataFrame, replica: DataFrame, per_file: int = RECORDS, fanout: int = FANOUT) -> DataFrame:
     """page_id, file_id, record_offset, record_length, record_sha256, status for every record of ``pages``.
 
-    ``status``: ok, or corrupt if the replica (page_id, url, html) differs or lacks it at that place. Null parts are
+    ``status``: ok, or corrupt if the replica (page_id, url, html) differs or lacks it at that place. Records at places
+    that only the replica has are returned as well, as they are there, with the status extra. Null parts are
     empty; records with a null id are in file -1; records that repeat an id follow one another; an empty table gives
     nothing; other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     good, other = Tree(records(pages, per_file), scratch, "good", fanout), Tree(records(replica, per_file), scratch, "replica", fanout)
-    bad = audit(good, other, scratch).withColumn("status", F.lit("corrupt"))
-    return good.leaves.join(bad, ["file", "place"], "left").select(
+    bad, place = audit(good, other, scratch), ["file", "place"]
+    extra = other.leaves.join(bad, place, "left_semi").join(good.leaves.select(*place), place, "left_anti").withColumn("status", F.lit("extra"))
+    found = good.leaves.join(bad.withColumn("status", F.lit("corrupt")), place, "left").unionByName(extra)
+    return found.select(
         "page_id", F.col("file").alias("file_id"), F.col("start").alias("record_offset"), F.col("length").alias("record_length"),
         F.col("sha").alias("record_sha256"), F.coalesce("status", F.lit("ok")).alias("status"),
     )
