@@ -104,42 +104,34 @@ def bytes_column(array) -> list[bytes]:
 def components(scratch: Scratch, links: DataFrame, tag: str) -> DataFrame:
     """(id, component) for every id of ``links(a, b)``; the component is its smallest id.
 
-    Hash-min with pointer jumping: each round takes the least label of the neighbours and then that
-    label's own label, so the rounds grow with the logarithm of the diameter. All of it is joins and
-    partial aggregates; nothing is gathered on the driver but one count.
+    Contraction: every vertex points to its smallest neighbour or itself, and then to where that one points; links
+    between what they point to are left, once each. A star or a chain shrinks to a third at least, so rounds grow with the
+    logarithm of the diameter and the links left shrink from round to round. All of it is joins and partial
+    aggregates; nothing is gathered on the driver but one count a round.
     """
-    both = scratch.save(
-        links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        .unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        .where("u <> v")
-        .distinct(),
-        f"{tag}-edges",
-    )
-    labels = scratch.save(
-        both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("component")),
-        f"{tag}-0",
-    )
-    k = 0
+    pair = links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct()
+    edges, maps = scratch.save(pair, f"{tag}-edges-0"), []
     while True:
-        near = (
-            both.join(labels, both.v == labels.id)
-            .groupBy("u")
-            .agg(F.min("component").alias("m"))
-            .join(labels.select(F.col("id").alias("u"), "component"), "u")
-            .select(F.col("u").alias("id"), F.col("component").alias("old"), F.least("m", "component").alias("m"))
-        )
-        jump = labels.select(F.col("id").alias("m"), F.col("component").alias("up"))
-        stepped = near.join(jump, "m", "left").select(
-            "id", F.least(F.col("m"), F.coalesce("up", "m")).alias("component"), "old"
-        )
-        k += 1
-        stepped = scratch.save(stepped, f"{tag}-{k}")
-        moved = stepped.where("component <> old").limit(1).count()
-        labels = stepped.select("id", "component")
-        if k > 1:
-            scratch.drop(f"{tag}-{k - 2}")
-        if not moved:
-            return labels
+        k = len(maps)
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        first = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), f"{tag}-near-{k}")
+        up = first.select(F.col("u").alias("p"), F.col("p").alias("top"))
+        maps.append(scratch.save(first.join(up.hint("merge"), "p").select(F.col("u").alias("id"), F.col("top").alias("component")), f"{tag}-map-{k}"))
+        for side in "uv":
+            edges = edges.join(maps[-1].withColumnRenamed("id", side).hint("merge"), side).withColumn(side, F.col("component")).drop("component")
+        edges = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        edges = scratch.save(edges, f"{tag}-edges-{k + 1}")
+        scratch.drop(f"{tag}-edges-{k}", f"{tag}-near-{k}")
+        if not edges.limit(1).count():
+            break
+    while len(maps) > 1:  # the last maps are the smallest
+        last, before = maps.pop(), maps.pop()
+        further = last.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        whole = before.join(further.hint("merge"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+        maps.append(scratch.save(whole, f"{tag}-whole-{len(maps)}"))
+        scratch.drop(f"{tag}-map-{len(maps)}")
+    scratch.drop(f"{tag}-edges-{k + 1}")
+    return maps[0]
 
 
 def tidy(spark: SparkSession) -> None:
