@@ -12,6 +12,7 @@ import io
 import struct
 import wave
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,14 @@ def samples(data: bytes) -> tuple[int, np.ndarray]:
     return rate, pcm.reshape(-1, channels).mean(axis=1)
 
 
+@lru_cache(maxsize=64)
+def folding(size: int, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """The window of a frame, and which frequencies above 60 Hz belong to which pitch class."""
+    freq = np.fft.rfftfreq(size, 1 / rate)
+    pitch = np.rint(12 * np.log2(np.maximum(freq, 1e-9) / 440.0)).astype(int) % PITCHES
+    return np.hanning(size), ((pitch[:, None] == np.arange(PITCHES)) & (freq > 60)[:, None]).astype(float)
+
+
 def chroma(data: bytes, block: int = 4096) -> np.ndarray:
     """Frames by pitch classes from a WAV; a frame and the step to the next last equally long at any rate."""
     rate, pcm = samples(data)
@@ -75,28 +84,29 @@ def chroma(data: bytes, block: int = 4096) -> np.ndarray:
     most = int((len(pcm) - size) * OVERLAP / (SECONDS * rate)) + 2
     starts = np.rint(np.arange(most) * (SECONDS * rate / OVERLAP)).astype(np.int64)
     starts = starts[starts + size <= len(pcm)]
-    freq = np.fft.rfftfreq(size, 1 / rate)
-    use = freq > 60
-    pitch = np.rint(12 * np.log2(freq[use] / 440.0)).astype(int) % PITCHES
-    fold = (pitch[:, None] == np.arange(PITCHES)).astype(float)
-    views, window = np.lib.stride_tricks.sliding_window_view(pcm, size), np.hanning(size)
-    out = np.concatenate([(np.abs(np.fft.rfft(views[starts[k : k + block]] * window, axis=1)) ** 2)[:, use] @ fold for k in range(0, len(starts), block)])
+    window, fold = folding(size, rate)
+    views, out = np.lib.stride_tricks.sliding_window_view(pcm, size), []
+    for k in range(0, len(starts), block):
+        waves = np.fft.rfft(views[starts[k : k + block]] * window, axis=1)
+        out.append((waves.real**2 + waves.imag**2) @ fold)
+    out = np.concatenate(out)
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-9)
 
 
 def fingerprint(picture: np.ndarray) -> np.ndarray:
-    """One 32-bit integer for each place at which the widest filter fits."""
-    n = len(picture) - WIDTH + 1
+    """One 32-bit integer for each place at which the widest filter fits; pictures of one length may be stacked."""
+    n = picture.shape[-2] - WIDTH + 1
     if n <= 0:
-        return np.empty(0, np.uint32)
-    total = np.zeros((len(picture) + 1, PITCHES + 1))
-    total[1:, 1:] = picture.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+        return np.empty((*picture.shape[:-2], 0), np.uint32)
+    total = np.zeros((*picture.shape[:-2], picture.shape[-2] + 1, PITCHES + 1))
+    picture.cumsum(axis=-2).cumsum(axis=-1, out=total[..., 1:, 1:])
 
     def box(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return total[at + t1, p1] - total[at + t0, p1] - total[at + t1, p0] + total[at + t0, p0]
+        band = total[..., p1] - total[..., p0]
+        return band[..., t1 : t1 + n] - band[..., t0 : t0 + n]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((*picture.shape[:-2], n), np.uint32)
+    low, high = np.exp(-0.5), np.exp(0.5)
     for kind, p, h, w in FILTERS:
         h = min(h, PITCHES - p)
         if kind == 0:  # all against the rest of the picture
@@ -109,8 +119,9 @@ def fingerprint(picture: np.ndarray) -> np.ndarray:
             x, y = w // 2, h // 2
             a = box(0, x, p, p + y) + box(x, 2 * x, p + y, p + 2 * y)
             b = box(x, 2 * x, p, p + y) + box(0, x, p + y, p + 2 * y)
-        value = np.log((a + 0.05) / (b + 0.05))
-        out = (out << np.uint32(2)) | GRAY[np.digitize(value, [-0.5, 0.0, 0.5])]
+        a, b = a + 0.05, b + 0.05
+        level = (a >= low * b).astype(np.uint32) + (a >= b) + (a >= high * b)
+        out = (out << np.uint32(2)) | GRAY[level]
     return out
 
 
@@ -126,9 +137,15 @@ def fingerprints(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            pictures = [chroma(d or b"") for d in batch.column(1).to_pylist()]
+            pictures, codes = [chroma(d or b"") for d in batch.column(1).to_pylist()], {}
+            for n in {len(p) for p in pictures}:  # those of one length at once, a few if they are long
+                places = [k for k, p in enumerate(pictures) if len(p) == n]
+                each = max(1, 50_000 // (n + 1))
+                for k in range(0, len(places), each):
+                    made = fingerprint(np.stack([pictures[i] for i in places[k : k + each]])).astype("<u4")
+                    codes |= {i: code.tobytes() for i, code in zip(places[k : k + each], made)}
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(p) for p in pictures], pa.int64()), pa.array([fingerprint(p).astype("<u4").tobytes() for p in pictures], pa.binary())],
+                [batch.column(0).cast(pa.int64()), pa.array([len(p) for p in pictures], pa.int64()), pa.array([codes[k] for k in range(len(pictures))], pa.binary())],
                 names=["id", "n_frames", "code"],
             )
 
@@ -244,12 +261,13 @@ def synthetic_media(vectors: DataFrame, rate: int = 2000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.arange(FRAME) / rate
         tones = np.stack([np.sin(2 * np.pi * 220.0 * 2 ** (k / 12) * t) for k in range(24)])
+        both = (tones * 12000 + tones[(np.arange(24) * 7 + 3) % 24] * 6000).astype("<i2")
         for batch in parts(batches):
             out = []
             for vector in batch.column(1).to_pylist():
                 x = np.nan_to_num(np.array([v or 0.0 for v in vector or []], float))
                 first = np.clip((np.clip(x, -1, 1) * 20).round().astype(int) % 24, 0, 23)
-                pcm = (tones[first] * 12000 + tones[(first * 7 + 3) % 24] * 6000) if len(x) else np.empty(0)
+                pcm = both[first] if len(x) else np.empty(0)
                 file = io.BytesIO()
                 with wave.open(file, "wb") as f:
                     f.setparams((1, 2, rate, 0, "NONE", ""))
