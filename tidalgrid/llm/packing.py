@@ -48,7 +48,7 @@ class Encoder:
         made = [model["vocab"].get(a + b, -1) for a, b in pairs]
         plain = model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         plain = plain and not spec.get("normalizer") and not model.get("ignore_merges") and made == sorted(made)
-        self.fast = self.model = None
+        self.path, self.fast, self.model = path, None, None
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         if plain:
@@ -56,17 +56,25 @@ class Encoder:
 
             ranks = {raw(k): v for k, v in model["vocab"].items() if all(c in alphabet for c in k) and k not in self.special}
             self.fast = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        else:
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        if self.model is None:
             from tokenizers import Tokenizer
 
-            self.model = Tokenizer.from_file(path)
+            self.model = Tokenizer.from_file(self.path)
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        try:
+            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        except BaseException as error:  # very long white space is beyond the fast library's pattern matcher, which panics
+            if type(error).__name__ != "PanicException":
+                raise
+            return self._library([text])[0]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if self.fast is None:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+            return self._library(texts)
         out = []
         for text in texts:
             if self.cut is None or not self.cut.search(text):
