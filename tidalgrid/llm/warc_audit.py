@@ -3,7 +3,8 @@
 Records are hashed with their byte range in their file; ordered ranges are hashed in groups into a tree per file, and
 files into one tree of the collection, a level at a time. Two replicas are compared from the roots down: only children
 of nodes that differ are looked at, so a clean replica costs one comparison and damage is found in as many steps as the
-tree has levels. Each level is a table, so the branches that agree are never read.
+tree has levels. Each level is a table; the leaves below the last differing nodes are compared by record, so a record
+that is missing or added isn't taken for damage of all that follow it.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ class Tree:
 
 
 def audit(good: Tree, other: Tree, scratch: Scratch) -> DataFrame:
-    """file, place of the records that differ or that one replica lacks, by descent from the root."""
+    """file, place of the leaves that differ or that one replica lacks, by descent from the root."""
     if len(good.levels) != len(other.levels) or good.per_file != other.per_file:
         suspects = None  # trees of different height share no nodes: compare all leaves
         steps = [(good.levels[0], other.levels[0], 0)]
@@ -101,16 +102,31 @@ def audit(good: Tree, other: Tree, scratch: Scratch) -> DataFrame:
 def fixity_audit(pages: DataFrame, replica: DataFrame, per_file: int = RECORDS, fanout: int = FANOUT) -> DataFrame:
     """page_id, file_id, record_offset, record_length, record_sha256, status for every record of ``pages``.
 
-    ``status``: ok, or corrupt if the replica (page_id, url, html) differs or lacks it at that place. Records at places
-    that only the replica has are returned as well, as they are there, with the status extra. Null parts are
-    empty; records with a null id are in file -1; records that repeat an id follow one another; an empty table gives
-    nothing; other columns are not read.
+    ``status``: ok, corrupt if the replica (page_id, url, html) has the id in that file with other bytes, missing if it
+    lacks the record there (or has it fewer times). Records that only the replica has, or has more often, are returned
+    as well, as they are there, with the status extra. A record that only moved is ok. Null parts are empty; records
+    with a null id are in file -1; records that repeat an id follow one another; an empty table gives nothing; other
+    columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     good, other = Tree(records(pages, per_file), scratch, "good", fanout), Tree(records(replica, per_file), scratch, "replica", fanout)
-    bad, place = audit(good, other, scratch), ["file", "place"]
-    extra = other.leaves.join(bad, place, "left_semi").join(good.leaves.select(*place), place, "left_anti").withColumn("status", F.lit("extra"))
-    found = good.leaves.join(bad.withColumn("status", F.lit("corrupt")), place, "left").unionByName(extra)
+    bad, place = scratch.save(audit(good, other, scratch), "bad"), ["file", "place"]
+    mine, theirs = (x.leaves.join(bad, place, "left_semi") for x in (good, other))
+    one = mine.groupBy("file", "page_id", "sha").agg(F.count(F.lit(1)).alias("n"))
+    two = theirs.groupBy("file", "page_id", "sha").agg(F.count(F.lit(1)).alias("m"))
+    # equal records are counted; what has no equal is corrupt if its id has other bytes there, else missing or extra
+    on = lambda x, y, names: [x[c].eqNullSafe(y[c]) for c in names]
+    lone = one.join(two, on(one, two, ["file", "page_id", "sha"]), "left").where("m is null or m < n").select(one["file"], one["page_id"], one["sha"], F.coalesce("m", F.lit(0)).alias("m"))
+    over = two.join(one, on(two, one, ["file", "page_id", "sha"]), "left").where("n is null or n < m").select(two["file"], two["page_id"], two["sha"], F.coalesce("n", F.lit(0)).alias("n"))
+    lone, over = scratch.save(lone, "lone"), scratch.save(over, "over")
+    changed = over.where("n = 0").select("file", "page_id").distinct()
+    marks = lone.join(changed.withColumn("other", F.lit(True)).alias("c"), on(lone, changed, ["file", "page_id"]), "left")
+    marks = marks.select(lone["file"], lone["page_id"], lone["sha"], F.when(F.col("other") & (F.col("m") == 0), "corrupt").otherwise("missing").alias("status"))
+    known = lone.where("m = 0").select("file", "page_id").distinct()
+    added = over.join(known, on(over, known, ["file", "page_id"]), "left_anti")
+    extra = theirs.join(added.drop("n"), on(theirs, added, ["file", "page_id", "sha"]), "left_semi").withColumn("status", F.lit("extra"))
+    suspect = mine.join(marks, on(mine, marks, ["file", "page_id", "sha"])).select(good.leaves["file"], good.leaves["place"], marks["status"])
+    found = good.leaves.join(suspect, place, "left").unionByName(extra)
     return found.select(
         "page_id", F.col("file").alias("file_id"), F.col("start").alias("record_offset"), F.col("length").alias("record_length"),
         F.col("sha").alias("record_sha256"), F.coalesce("status", F.lit("ok")).alias("status"),
