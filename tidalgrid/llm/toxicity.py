@@ -21,9 +21,6 @@ from tidalgrid.llm.common import Scratch, bytes_column
 
 #: At most so many labelled rows, taken by the order of a hash of doc_id, train the model.
 MOST_ROWS = 20_000
-#: At most so many lexicon entries.
-MOST_TERMS = 3_000
-
 #: Second-person words of English, German, French and Spanish (fixed values).
 SECOND = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen euch euer ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro".split()
@@ -143,11 +140,12 @@ class Trees:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (score, rate) of the least-squares increasing fit."""
-    order = np.argsort(score, kind="stable")
+    """Pool adjacent violators: knots (score, rate) of the least-squares increasing fit; equal scores are one place."""
+    values, at = np.unique(score, return_inverse=True)
+    ones, sizes = np.bincount(at, y, len(values)), np.bincount(at, minlength=len(values))
     blocks: list[list[float]] = []
-    for s, t in zip(score[order].tolist(), y[order].tolist()):
-        blocks.append([t, 1.0, s])
+    for s, t, n in zip(values.tolist(), ones.tolist(), sizes.tolist()):
+        blocks.append([t, float(n), s])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             total, n, at = blocks.pop()
             last = blocks[-1]
@@ -197,18 +195,17 @@ def term_counts(rows: DataFrame, among: frozenset | None) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, int]:
-    """Levels 1 to 7 by log-odds of terms in rows(text, toxic); at most MOST_TERMS of them."""
+    """Levels 1 to 7 by log-odds of terms in rows(text, toxic); all terms, as the rows are bounded."""
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     least = max(3, round(0.004 * bad))
-    some = term_counts(rows.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(10 * MOST_TERMS).collect()
+    some = term_counts(rows.where("toxic = 1"), None).where(F.col("n") >= least).collect()
     positive = {r["term"]: r["n"] for r in some}
     if not positive:
         return {}
     negative = {r["term"]: r["n"] for r in term_counts(rows.where("toxic = 0"), frozenset(positive)).collect()}
     odds = {t: float(np.log((n + 0.5) / (bad + 1)) - np.log((negative.get(t, 0) + 0.5) / (good + 1))) for t, n in positive.items()}
-    chosen = sorted((t for t, v in odds.items() if v > 2.0), key=lambda t: (-odds[t] * positive[t], t))[:MOST_TERMS]
-    return {t: int(np.clip(round(odds[t]), 1, 7)) for t in chosen}
+    return {t: int(np.clip(round(v), 1, 7)) for t, v in sorted(odds.items()) if v > 2.0}
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, most_rows: int = MOST_ROWS, seed: str = "") -> Model:
@@ -216,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, most_rows: int = M
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_rows)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text an id, so the rows are bounded as well
     rows = scratch.save(rows, "labelled")
     lexicon = learn_lexicon(rows)
 
@@ -226,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, most_rows: int = M
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
     got = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "toxic").mapInArrow(run, "doc_id long, toxic int, x array<double>")
-    data = sorted((r["doc_id"], r["toxic"], tuple(r["x"])) for r in got.collect())
-    x = np.array([d[2] for d in data]).reshape(len(data), len(FEATURES))
+    data = sorted((tuple(r["x"]), r["toxic"]) for r in got.collect())  # no order of ids may reach the model
+    x = np.array([d[0] for d in data]).reshape(len(data), len(FEATURES))
     return Model(lexicon, x, np.array([d[1] for d in data], float))
 
 
