@@ -143,8 +143,9 @@ def tidy(spark: SparkSession) -> None:
 
 
 def ranges(docs: DataFrame, n: int) -> list[int]:
-    """Up to n - 1 ids that cut the documents into batches of about equal size, by ascending doc_id."""
+    """Up to n - 1 ids that cut the documents into batches by ascending doc_id; each cut has twice as many below it as
+    the one before, and the last a quarter of all."""
     if n < 2:
         return []
-    cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.01)
+    cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [0.25 / 2**i for i in range(n - 2, -1, -1)], 0.01)
     return sorted({int(c) for c in cuts})
