@@ -134,7 +134,7 @@ def test_decontamination(spark, docs, rows, block):
         for i in range(max(0, len(w) - 13) + 1) if w and item is not None else ():
             windows[tuple(w[i : i + 13])].add(item)
     sizes = {len(w) for w in windows}
-    assert len(got) == len(rows) - (block < 10_000)  # in several blocks, the repeated row comes once
+    assert len(got) == len(rows)  # a row each, in several blocks as well
     for r in got:
         w = (texts[r["doc_id"]] or "").encode().translate(common.ALNUM).split()
         hit, found = [0] * len(w), set()
@@ -148,6 +148,15 @@ def test_decontamination(spark, docs, rows, block):
     assert decontaminate.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 4])
+def test_decontamination_gives_each_row_its_own_result(spark, block):
+    docs = spark.createDataFrame([(None, "alpha beta"), (None, "gamma delta delta"), (7, "alpha"), (7, "gamma gamma"), (7, "alpha"), (8, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha"), (2, "delta"), (3, "other words")], "item_id long, text string")
+    got = decontaminate.decontaminate(docs.withColumn("key", F.lit(1)), bench, block_bytes=block).collect()
+    rows = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], tuple(r["items"])) for r in got)
+    assert rows == [(0, 2, 1, (1,)), (0, 3, 2, (2,)), (7, 1, 1, (1,)), (7, 1, 1, (1,)), (7, 2, 0, ()), (8, 0, 0, ())]
+
+
 def test_packing(spark, docs, rows, library):
     got = packing.pack(docs, TOKENIZER).collect()
     texts, used, sequences = dict(rows), defaultdict(list), defaultdict(list)
@@ -244,6 +253,12 @@ def test_line_dedup_loses_no_link(spark):
     assert got == {i: int(t != i) for i, t in enumerate(top)} and 30 < sum(got.values()) < len(lines)
 
 
+def test_packing_encodes_long_white_space(library):
+    for text in (" " * 1_000_000, "a" + "\n" * 300_000 + "b <|endoftext|> c"):
+        want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert packing.encoder(TOKENIZER).batch([text]) == [want]
+
+
 def test_warc_audit(spark):
     pages = spark.range(1000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
     pages = pages.unionByName(spark.createDataFrame([(None, None, None)], "page_id long, url string, html string"))
@@ -285,6 +300,16 @@ def test_warc_audit_finds_extra_records(spark):
         assert got.count() == 600 + len(more)
 
 
+def test_warc_audit_tells_missing_from_corrupt(spark):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
+    twice = pages.unionByName(spark.createDataFrame([(5, "u", "page 5"), (None, "u", "x")], "page_id long, url string, html string")).withColumn("status", F.lit(1))
+    replica = pages.where("page_id not in (3, 30)").withColumn("html", F.when(F.col("page_id") == 20, "other").otherwise(F.col("html")))
+    replica = replica.unionByName(spark.createDataFrame([(45, "u", "new")], "page_id long, url string, html string"))
+    got = warc_audit.fixity_audit(twice, replica)
+    assert sorted(((r["page_id"] or -1), r["status"]) for r in got.where("status <> 'ok'").collect()) == [(-1, "missing"), (3, "missing"), (5, "missing"), (5, "missing"), (20, "corrupt"), (30, "missing"), (45, "extra")]
+    assert got.count() == 43
+
+
 def wav(pcm, width=2, channels=1, rate=2000):
     file = io.BytesIO()
     with wave.open(file, "wb") as f:
@@ -358,6 +383,29 @@ def test_toxicity_learns_and_leaves_out_held_rows(spark):
     assert toxicity.toxicity(docs.where("false"), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def test_calibration_doesnt_depend_on_order():
+    y = np.r_[np.zeros(90), np.ones(10)]
+    for labels in (y, y[::-1]):
+        at, rate = toxicity.isotonic(np.full(100, 0.3), labels)
+        assert len(at) == 1 and abs(rate[0] - 0.1) < 0.001
+    draw = np.random.default_rng(1)
+    score, labels = draw.integers(0, 6, 300) / 6, draw.integers(0, 2, 300).astype(float)
+    order = draw.permutation(300)
+    assert all(np.array_equal(a, b) for a, b in zip(toxicity.isotonic(score, labels), toxicity.isotonic(score[order], labels[order])))
+
+
+def test_toxicity_doesnt_depend_on_ids(spark):
+    texts = [(f"word{k % 7} and word{k % 5}" + (" scumbag" if k % 6 == 0 else "")) for k in range(400)]
+    labels = [int(k % 6 == 0 or k % 11 == 0) for k in range(400)]
+    free = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 4 != 2][:400]
+    scores = []
+    for ids in (free, free[::-1]):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, spark.createDataFrame(list(zip(ids, labels)), "doc_id long, toxic int")).collect()}
+        scores.append([got[i] for i in ids])
+    assert scores[0] == scores[1]
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     import corpus_pipeline
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,30 +20,34 @@ from tidalgrid.llm.common import ALNUM, BASE_A, Scratch, WordHashes, as_long, by
 
 SPAN, SHINGLE = 13, 3
 #: Benchmark text is joined in blocks of about so many bytes; each block is sent to all tasks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 class Windows:
-    """The distinct windows of a block of items, with the shingles that they hold."""
+    """The distinct windows of a block of items, with the shingles that they hold; words are numbers, lists are flat."""
 
     def __init__(self, items: list[tuple[int, bytes]], span: int):
-        table, at = WordHashes(most=0), {}
-        self.words: list[list[bytes]] = []
-        self.items: list[set[int]] = []
+        table, places = WordHashes(most=0), {}
+        self.numbers: dict[bytes, int] = {}
+        words_of, items_of, self.grams = [], [], []
         for item, text in items:
             words = text.translate(ALNUM).split()
             n = min(span, len(words))
-            for i in range(len(words) - n + 1) if n else ():
-                key = tuple(words[i : i + n])
-                if key not in at:
-                    at[key] = len(self.words)
-                    self.words.append(list(key))
-                    self.items.append(set())
-                self.items[at[key]].add(item)
-        self.grams = []
-        for words in self.words:
-            g = min(SHINGLE, len(words))
-            self.grams.append((g, rolling(np.array([table[w] for w in words], np.uint64), g, BASE_A)))
+            if not n:
+                continue
+            ids = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int32)
+            g = min(SHINGLE, n)
+            grams = rolling(np.fromiter((table[w] for w in words), np.uint64, len(words)), g, BASE_A)
+            for i in range(len(words) - n + 1):
+                at = places.setdefault(ids[i : i + n].tobytes(), len(words_of))
+                if at == len(words_of):
+                    words_of.append(ids[i : i + n])
+                    items_of.append({item})
+                    self.grams.append((g, grams[i : i + n - g + 1]))
+                else:
+                    items_of[at].add(item)
+        flat = lambda lists, kind: (np.cumsum([0, *map(len, lists)]), np.concatenate([np.fromiter(x, kind, len(x)) for x in lists] or [np.empty(0, kind)]))
+        self.words, self.items = flat(words_of, np.int32), flat([sorted(x) for x in items_of], np.int64)
         self.sizes = sorted({g for g, _ in self.grams})
         self.universe = {g: np.unique(np.concatenate([x for k, x in self.grams if k == g])) for g in self.sizes}
 
@@ -57,7 +62,7 @@ class Windows:
             found.sort()
             self.tokens[g], start = np.unique(np.array([r[0] for r in found], np.uint64), return_index=True)
             self.first[g] = np.append(start, len(found))
-            self.entries[g] = [r[1:] for r in found]
+            self.entries[g] = np.array([r[1:] for r in found], np.int64).reshape(-1, 2)
         del self.grams, self.universe
 
 
@@ -98,29 +103,32 @@ def shingle_counts(docs: DataFrame, windows: Windows) -> DataFrame:
     return made.groupBy("size", "value").agg(F.sum("n").alias("n"))
 
 
-def hits(docs: DataFrame, windows: Windows) -> DataFrame:
-    """doc_id, n_words, spans (lo, hi: words hit, end exclusive, merged), items (ids with occurring windows)."""
+def hits(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """doc_id, key, n_words, spans (lo, hi: words hit, end exclusive, merged), items (ids with occurring windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
+        table, windows = WordHashes(), shared.value
         bits = {g: _sieve(v) for g, v in windows.tokens.items()}
+        (word_ends, all_words), (item_ends, all_items), numbers = windows.words, windows.items, windows.numbers
         for batch in batches:
             sizes, spans, items = [], [], []
-            for text in bytes_column(batch.column(1)):
+            for text in bytes_column(batch.column(2)):
                 words = text.translate(ALNUM).split()
                 h = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-                found, mine = [], set()
+                found, mine, ids = [], set(), None
                 for g, values in windows.tokens.items():
                     if len(h) < g:
                         continue
                     places, which = _lookup(rolling(h, g, BASE_A), bits[g], values)
+                    if len(places) and ids is None:
+                        ids = np.fromiter((numbers.get(w, -1) for w in words), np.int32, len(words))
                     first, entries = windows.first[g], windows.entries[g]
                     for p, k in zip(places.tolist(), which.tolist()):
-                        for w, offset in entries[first[k] : first[k + 1]]:
-                            want, start = windows.words[w], p - offset
-                            if start >= 0 and start + len(want) <= len(words) and words[start : start + len(want)] == want:
+                        for w, offset in entries[first[k] : first[k + 1]].tolist():
+                            want, start = all_words[word_ends[w] : word_ends[w + 1]], p - offset
+                            if start >= 0 and start + len(want) <= len(ids) and (ids[start : start + len(want)] == want).all():
                                 found.append((start, start + len(want)))
-                                mine |= windows.items[w]
+                                mine.update(all_items[item_ends[w] : item_ends[w + 1]].tolist())
                 found.sort()
                 merged: list[dict] = []
                 for lo, hi in found:
@@ -132,12 +140,12 @@ def hits(docs: DataFrame, windows: Windows) -> DataFrame:
                 spans.append(merged)
                 items.append(sorted(mine))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "spans", "items"],
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "n_words", "spans", "items"],
             )
 
-    schema = "doc_id long, n_words long, spans array<struct<lo:int,hi:int>>, items array<long>"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, key string, n_words long, spans array<struct<lo:int,hi:int>>, items array<long>"
+    return docs.select("doc_id", "key", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -145,28 +153,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block
 
     A word is hit if an occurrence of a window of any benchmark(item_id, text) covers it; ``contaminated`` is n_hit > 0
     and 20 * n_hit >= n_words. Null or empty texts have no words and are clean; items with a null id or no words are
-    left out; repeated items count once; a null doc_id is returned as null. With an empty benchmark all is clean. If
-    the benchmark needs several blocks, rows that repeat a doc_id are returned as one. Other columns are not read.
+    left out; repeated items count once; a null doc_id is returned as null. With an empty benchmark all is clean. Each
+    row gives a row, however many blocks of ``block_bytes`` the benchmark needs. Other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
     bench = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("binary").alias("text"))
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
+    # several blocks give a row of a document each; rows of one id and text give the same
+    key = F.sha2(F.col("text").cast("binary"), 256) if blocks > 1 else F.lit(None).cast("string")
+    docs = docs.select("doc_id", key.alias("key"), "text")
     scratch, made = Scratch(docs.sparkSession, "benchmark"), None
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         windows = Windows([(r["item_id"], bytes(r["text"])) for r in part.collect()], span)
         counts = shingle_counts(docs, windows).collect() if windows.sizes else []
         windows.prefixes({(r["size"], r["value"] & (2**64 - 1)): r["n"] for r in counts})
-        got = hits(docs, windows)
+        got = hits(docs, docs.sparkSession.sparkContext.broadcast(windows))
         if blocks > 1:
             got = scratch.save(got, f"hits{k}")
         made = got if made is None else made.unionByName(got)
     if blocks > 1:
-        made = made.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        made = made.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
         step = lambda acc, x: F.struct((acc["n"] + F.greatest(x["hi"] - F.greatest(x["lo"], acc["end"]), F.lit(0))).alias("n"), F.greatest(x["hi"], acc["end"]).alias("end"))
         n_hit = F.aggregate(F.array_sort("spans"), start, step, lambda acc: acc["n"].cast("long"))
+        rows, made = docs.select(F.col("doc_id").alias("d"), F.col("key").alias("k")), made.withColumn("n_hit", n_hit)
+        made = rows.join(made.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & F.col("k").eqNullSafe(F.col("key"))).drop("doc_id").withColumnRenamed("d", "doc_id")
+        n_hit = F.col("n_hit")
     else:
         n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["hi"] - x["lo"]))
     made = made.select("doc_id", "n_words", n_hit.alias("n_hit"), "items")
