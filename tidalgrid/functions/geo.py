@@ -74,3 +74,26 @@ def power_policy(stored_wh: Column) -> tuple[Column, Column]:
     motor = F.when(stored_wh <= 600, 0.0).otherwise(500.0)
     other = F.when(stored_wh <= 0, 0.0).when(stored_wh <= 600, 25.0).otherwise(100.0)
     return motor, other
+
+
+def great_circle_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Haversine distance in metres, in the form with two arguments of the arc tangent."""
+    a, b = F.radians(lat1), F.radians(lat2)
+    h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return 2000 * RADIUS_KM * F.atan2(F.sqrt(h), F.sqrt(F.greatest(1 - h, F.lit(0.0))))
+
+
+def to_xyz(lat: Column, lng: Column, radius: float = 1.0) -> tuple[Column, Column, Column]:
+    a, b = F.radians(lat), F.radians(lng)
+    return radius * F.cos(a) * F.cos(b), radius * F.cos(a) * F.sin(b), radius * F.sin(a)
+
+
+def from_xyz(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of a direction of any length."""
+    long = F.sqrt(x * x + y * y + z * z)
+    return F.degrees(F.asin(F.least(F.greatest(z / long, F.lit(-1.0)), F.lit(1.0)))), F.degrees(F.atan2(y, x))
+
+
+def crabbing_speed(speed: Column, along: Column, across: Column) -> Column:
+    """Speed over ground along a wanted course in a current; null where the current across it can't be stemmed."""
+    return F.when(F.abs(across) <= speed, along + F.sqrt(speed * speed - across * across))

@@ -13,6 +13,8 @@ from tidalgrid.functions.geo import wrapped_offset
 from tidalgrid.plans.axes import Axes
 
 FILL = 65535
+#: Cells along the side of a tile that points are joined with.
+SIDE = 32
 
 
 def dense(cells: DataFrame, axes: Axes) -> DataFrame:
@@ -38,7 +40,7 @@ def located(points: DataFrame, axes: Axes) -> DataFrame:
     """Adds corner indices and weights to points(id, t, lat, lon) that the grid covers; others are left out."""
     t = (F.col("t") - axes.t0) / F.lit(float(axes.dt))
     y = (F.col("lat") - axes.lat0) / axes.dlat
-    x = (wrapped_offset(F.col("lon"), F.lit(axes.lon0)) if axes.wrap else F.col("lon") - axes.lon0) / axes.dlon
+    x = wrapped_offset(F.col("lon"), F.lit(axes.lon0)) / axes.dlon  # on any grid, so -5 and 355 are one place
     inside = (F.col("ti") >= 0) & (F.col("ti") <= axes.nt - 1) & (F.col("yi") >= 0) & (F.col("yi") <= axes.nlat - 1) & (F.col("xi") >= 0)
     inside &= F.lit(True) if axes.wrap else F.col("xi") <= axes.nlon - 1
     known = ~(F.isnan(F.col("lat").cast("double")) | F.isnan(F.col("lon").cast("double")))
@@ -53,22 +55,43 @@ def located(points: DataFrame, axes: Axes) -> DataFrame:
     )
 
 
-def sample(points: DataFrame, cube: DataFrame, axes: Axes) -> DataFrame:
-    """id, value: trilinear blend at points(id, t, lat, lon); misses and points next to a hole are left out.
+def tiles(cube: DataFrame, axes: Axes, side: int = SIDE) -> DataFrame:
+    """i, bj, bk, width, values of frames(i, values): squares of ``side`` cells, and the next row and column beside them.
 
-    ``cube``: frames. Two joins on the frame number, so only frames that points need are met.
+    A point's corners are in one tile, so a row that meets a point holds a few kilobytes however large the grid is.
     """
-    at = located(points, axes)
-    both = at.join(cube.select(F.col("i").alias("i0"), F.col("values").alias("a")), "i0").join(cube.select(F.col("i").alias("i1"), F.col("values").alias("b")), "i1")
+    rows, cols = -(-axes.nlat // side), -(-axes.nlon // side)
+    at = F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))).alias("b")
+    cut = cube.select("i", "values", at).select("i", "values", F.floor(F.col("b") / cols).cast("int").alias("bj"), F.pmod("b", F.lit(cols)).cast("int").alias("bk"))
+    first, inner = F.col("bk") * side, F.least(F.lit(side + 1), axes.nlon - F.col("bk") * side)
+    seam = F.when((first + side >= axes.nlon) & F.lit(axes.wrap), 1).otherwise(0)
+    line = lambda j: F.concat(F.slice("values", j * axes.nlon + first + 1, inner), F.slice("values", j * axes.nlon + 1, seam))
+    lines = F.transform(F.sequence(F.col("bj") * side, F.least(F.col("bj") * side + side, F.lit(axes.nlat - 1))), line)
+    return cut.select("i", "bj", "bk", (inner + seam).alias("width"), F.flatten(lines).alias("values"))
 
-    def corner(values: str, j: str, k: str) -> Column:
-        return F.element_at(F.col(values), F.col(j) * axes.nlon + F.col(k) + 1)
 
-    def plane(values: str) -> Column:
-        row = lambda j: corner(values, j, "k0") * (1 - F.col("fx")) + corner(values, j, "k1") * F.col("fx")
-        return row("j0") * (1 - F.col("fy")) + row("j1") * F.col("fy")
+def sample(points: DataFrame, cube: DataFrame, axes: Axes, side: int = SIDE) -> DataFrame:
+    """id, value: trilinear blend at points(id, t, lat, lon); misses and points next to a hole are left out.
 
-    value = plane("a") * (1 - F.col("ft")) + plane("b") * F.col("ft")
+    ``cube``: frames. Tiles of a frame and the next are joined once, and points meet that pair by one equi-join on
+    frame and tile, so only frames that points need are met and a busy frame is spread over its tiles.
+    """
+    cut = tiles(cube, axes, side)
+    after = cut.select((F.col("i") - 1).alias("i"), "bj", "bk", F.col("values").alias("b"))
+    pair = cut.join(after, ["i", "bj", "bk"], "left").select(F.col("i").alias("i0"), "bj", "bk", "width", F.col("values").alias("a"), "b")
+    at = located(points, axes).withColumns({"bj": F.floor(F.col("j0") / side).cast("int"), "bk": F.floor(F.col("k0") / side).cast("int")})
+    both = at.join(pair, ["i0", "bj", "bk"])
+    row = lambda j: F.col(j) - F.col("bj") * side
+    left = F.col("k0") - F.col("bk") * side
+    right = left + 1 if axes.wrap else F.col("k1") - F.col("bk") * side
+
+    def plane(values: Column) -> Column:
+        corner = lambda j, k: F.element_at(values, row(j) * F.col("width") + k + 1)
+        line = lambda j: corner(j, left) * (1 - F.col("fx")) + corner(j, right) * F.col("fx")
+        return line("j0") * (1 - F.col("fy")) + line("j1") * F.col("fy")
+
+    last = F.col("i1") == F.col("i0")
+    value = plane(F.col("a")) * (1 - F.col("ft")) + F.when(last, plane(F.col("a"))).otherwise(plane(F.col("b"))) * F.col("ft")
     return both.select("id", value.alias("value")).where(F.col("value").isNotNull())
 
 
@@ -110,24 +133,54 @@ def select_frames(times: DataFrame, lo: int, hi: int, stride: int = 1) -> DataFr
     return ranked.where((F.col("i") >= lo) & (F.col("i") < hi) & (F.pmod(F.col("i") - lo, F.lit(stride)) == 0))
 
 
-def thin(cells: DataFrame, n: int) -> DataFrame:
-    """Every n-th point in both directions, renumbered."""
+def thin(cells: DataFrame, n: int, axes: Axes | None = None) -> DataFrame:
+    """Every n-th point in both directions, renumbered; with ``axes``, fewer than two left is an error."""
+    if axes is not None and min(-(-axes.nlat // n), -(-axes.nlon // n)) < 2:
+        raise ValueError(f"every {n}th point leaves fewer than two")
     kept = cells.where((F.pmod("j", F.lit(n)) == 0) & (F.pmod("k", F.lit(n)) == 0))
     return kept.withColumns({"j": F.floor(F.col("j") / n).cast("int"), "k": F.floor(F.col("k") / n).cast("int")})
 
 
 def crop(cells: DataFrame, axes: Axes, west: float, south: float, east: float, north: float) -> DataFrame:
-    """Cells in a box that may cross any seam, with lat and eastward-ordered lon (west + offset)."""
+    """Cells in a box that may cross any seam, with lat and lon (west + offset), and their row and eastward column there.
+
+    A box without a point of the grid is an error.
+    """
     width = (east - west) % 360.0 or 360.0
+    offsets = [(axes.lon0 + k * axes.dlon - west) % 360.0 for k in range(axes.nlon)]
+    inside = sorted((o, k) for k, o in enumerate(offsets) if o <= width)
+    lats = [j for j in range(axes.nlat) if south <= axes.lat0 + j * axes.dlat <= north]
+    if not inside or not lats:
+        raise ValueError("the box holds no point of the grid")
+    places = F.create_map(*[F.lit(x) for n, (_, k) in enumerate(inside) for x in (k, n)])  # a row of the grid at most
     lat, lon = axes.lat0 + F.col("j") * axes.dlat, axes.lon0 + F.col("k") * axes.dlon
     out = cells.withColumns({"lat": lat, "offset": wrapped_offset(lon, F.lit(west))})
-    return out.where((F.col("offset") <= width) & F.col("lat").between(south, north)).withColumn("lon", F.col("offset") + west).drop("offset")
+    out = out.where((F.col("offset") <= width) & F.col("lat").between(south, north)).withColumn("lon", F.col("offset") + west)
+    return out.withColumns({"row": (F.col("j") - lats[0]).cast("int"), "col": F.element_at(places, F.col("k").cast("int"))}).drop("offset")
+
 
+def gaps(times: DataFrame) -> DataFrame:
+    """t, d of distinct t: d is the difference to the t before. Each of 64 stretches of the axis is sorted by itself."""
+    bounds = times.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    wide = max(1.0, ((bounds["hi"] or 0) - (bounds["lo"] or 0)) / 64)
+    dealt = times.select("t", F.floor((F.col("t") - (bounds["lo"] or 0)) / wide).alias("b"))
+    ends = dealt.groupBy("b").agg(F.max("t").alias("end"))
+    before = ends.select("b", F.max("end").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # 65 rows
+    own = F.lag("t").over(Window.partitionBy("b").orderBy("t"))
+    return dealt.join(before, "b").select("t", (F.col("t") - F.coalesce(own, "before")).alias("d"))
 
-def uniform_step(times: DataFrame) -> DataFrame:
+
+def uniform_step(times: DataFrame, tolerance: float = 0) -> DataFrame:
     """n, step, uniform of a table of distinct t."""
-    gaps = times.select((F.col("t") - F.lag("t").over(Window.orderBy("t"))).alias("d"))
-    return gaps.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("step"), (F.max("d") == F.min("d")).alias("uniform"))
+    return gaps(times).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("step"), (F.max("d") - F.min("d") <= tolerance).alias("uniform"))
+
+
+def require_uniform(times: DataFrame, what: str, tolerance: float = 0) -> float:
+    """The step of an axis; an axis of fewer than two points or of uneven steps is an error."""
+    got = uniform_step(times, tolerance).first()
+    if not got["uniform"] or got["step"] is None:
+        raise ValueError(f"{what} isn't evenly spaced")
+    return got["step"]
 
 
 def union_along_time(rows: DataFrame) -> DataFrame:
@@ -135,12 +188,27 @@ def union_along_time(rows: DataFrame) -> DataFrame:
     ends = rows.groupBy("source").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     before = F.max("t1").over(Window.orderBy("t0", "source").rowsBetween(Window.unboundedPreceding, -1))  # one row a source
     limits = ends.select("source", before.alias("after"))
-    return rows.join(F.broadcast(limits), "source").where(F.col("after").isNull() | (F.col("t") > F.col("after"))).drop("after")
+    return rows.join(limits, "source").where(F.col("after").isNull() | (F.col("t") > F.col("after"))).drop("after")
 
 
-def nearest_time(queries: DataFrame, times: DataFrame) -> DataFrame:
-    """id, t, at: the nearest of ``times``(t) to each query(id, t); of two equally near, the earlier."""
-    steps = times.select("t").distinct()
-    edges = steps.select("t", F.coalesce(F.lead("t").over(Window.orderBy("t")), F.lit(2**62)).alias("next"), F.coalesce(F.lag("t").over(Window.orderBy("t")), F.lit(-(2**62))).alias("prev"))
-    half = edges.select(F.col("t").alias("at"), F.when(F.col("prev") > -(2**62), (F.col("prev") + F.col("t")) / 2).otherwise(-1e300).alias("lo"), F.when(F.col("next") < 2**62, (F.col("t") + F.col("next")) / 2).otherwise(1e300).alias("hi"))
-    return queries.join(F.broadcast(half), (F.col("t") > F.col("lo")) & (F.col("t") <= F.col("hi"))).select("id", "t", "at")
+def nearest_time(queries: DataFrame, times: DataFrame, buckets: int = 64) -> DataFrame:
+    """id, t, at: the nearest of ``times``(t) to each query(id, t); of two equally near, the earlier.
+
+    Both are dealt into stretches of time and merged by a sort within each; what lies beyond a stretch's ends comes
+    from one row a stretch.
+    """
+    bounds = times.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    low = bounds["lo"] or 0
+    wide = max(1, -(-((bounds["hi"] or 0) - low + 1) // buckets))
+    bucket = F.least(F.greatest(F.floor((F.col("t") - low) / wide), F.lit(0)), F.lit(buckets - 1)).alias("b")
+    steps = times.select("t", bucket).distinct()
+    ends = queries.sparkSession.range(buckets).select(F.col("id").alias("b")).join(steps.groupBy("b").agg(F.min("t").alias("first"), F.max("t").alias("last")), "b", "left")
+    order = Window.orderBy("b")  # a row a stretch
+    ends = ends.select("b", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("past"), F.min("first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
+    none = F.lit(None).cast("long")
+    both = steps.select("b", "t", none.alias("id"), F.col("t").alias("at")).unionByName(queries.select(bucket, "t", "id", none.alias("at")))
+    merge = Window.partitionBy("b").orderBy("t", F.col("id").isNotNull())
+    found = both.select("b", "t", "id", F.last("at", True).over(merge.rowsBetween(Window.unboundedPreceding, 0)).alias("x"), F.first("at", True).over(merge.rowsBetween(1, Window.unboundedFollowing)).alias("y"))
+    found = found.where("id is not null").join(ends, "b").select("id", "t", F.coalesce("x", "past").alias("x"), F.coalesce("y", "next").alias("y"))
+    earlier = F.col("y").isNull() | (F.col("t") - F.col("x") <= F.col("y") - F.col("t"))
+    return found.select("id", "t", F.when(F.col("x").isNotNull() & earlier, F.col("x")).otherwise(F.col("y")).alias("at")).where("at is not null")

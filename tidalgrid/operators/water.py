@@ -1,66 +1,165 @@
 """Navigable water: components, distance to shore, width of access, and the clearance pyramid on a nesting grid.
 
-Cells are (row, col) of a latitude/longitude grid; col wraps if the grid goes round. The iterations are joins and
-partial aggregates on the cells, each written to the shared checkpoint folder, so lineage stays short.
+Cells are (row, col) of a latitude/longitude grid; col wraps if the grid goes round. Fixpoints are solved block by
+block: a task relaxes a square of cells to its own fixpoint, and only values that cross a border start another round,
+so rounds grow with the blocks between the furthest cells, not with the cells. Each round is written to the shared
+checkpoint folder, so lineage stays short.
 """
 
 from __future__ import annotations
 
+import heapq
 import tempfile
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidalgrid.functions.geo import great_circle_km
 
+#: Cells along the side of a block that one task solves.
+BLOCK = 64
+
 
 def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidalgrid-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidalgrid-"))
     return df.checkpoint()
 
 
-def adjacency(cells: DataFrame) -> DataFrame:
-    """src, dst, km of neighbouring cells(cell, row, col, lat, lng): four neighbours, both directions."""
+def cells_of(spark, rows: int, cols: int, lat0: float = 0.0, lng0: float = 0.0, step: float = 0.5) -> DataFrame:
+    """cell, row, col, lat, lng of all cells of a grid, numbered row by row."""
+    at = spark.range(rows * cols).select(F.col("id").alias("cell"), F.floor(F.col("id") / cols).alias("row"), F.pmod("id", F.lit(cols)).alias("col"))
+    return at.withColumns({"lat": lat0 + F.col("row") * step, "lng": lng0 + F.col("col") * step})
+
+
+def cell_of(lat: Column, lng: Column, cols: int, lat0: float = 0.0, lng0: float = 0.0, step: float = 0.5) -> Column:
+    """The cell whose centre is nearest to a point."""
+    return F.floor((lat - lat0) / step + 0.5) * cols + F.pmod(F.floor((lng - lng0) / step + 0.5), F.lit(cols))
+
+
+def cell_count(rows: Column, cols: Column) -> tuple[Column, Column]:
+    """Cells of a grid, and the gigabytes that a map of them takes at 230 bytes a cell."""
+    n = rows * cols
+    return n, n * 230 / 2**30
+
+
+def _neighbours(cells: DataFrame, cols: int | None) -> DataFrame:
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
-    near = cells.select("cell", "row", "col", "lat", "lng", steps.alias("s")).select(
-        F.col("cell").alias("src"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col")
-    )
+    col = F.col("col") + F.col("s.dc")
+    return cells.withColumn("s", steps).select(
+        F.col("cell").alias("src"), F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"),
+        (F.col("row") + F.col("s.dr")).alias("row"), (F.pmod(col, F.lit(cols)) if cols else col).alias("col"),
+    )
+
+
+def adjacency(cells: DataFrame, cols: int | None = None, block: int = BLOCK) -> DataFrame:
+    """src, dst, km of neighbouring cells(cell, row, col, lat, lng), both directions, and the blocks they are in.
+
+    ``cols``: the number of columns of a grid that goes round.
+    """
     there = cells.select("row", "col", F.col("cell").alias("dst"), "lat", "lng")
-    return near.join(there, ["row", "col"]).select("src", "dst", great_circle_km(F.col("lat1"), F.col("lng1"), F.col("lat"), F.col("lng")).alias("km"))
+    name = lambda r, c: F.concat_ws(":", F.floor(F.col(r) / block), F.floor(F.col(c) / block))
+    km = great_circle_km(F.col("lat1"), F.col("lng1"), F.col("lat"), F.col("lng"))
+    return _neighbours(cells, cols).join(there, ["row", "col"]).select("src", "dst", km.alias("km"), name("r1", "c1").alias("from"), name("row", "col").alias("to"))
 
 
-def relax(start: DataFrame, edges: DataFrame, step: Column, combine, better) -> DataFrame:
-    """Fixpoint of value(dst) = combine(value, combined step over neighbours) for start(cell, value)."""
-    now = _cut(start)
+def truncated(cells: DataFrame, cols: int | None = None) -> DataFrame:
+    """cell: those with a neighbour outside the set."""
+    return _neighbours(cells, cols).join(cells.select("row", "col"), ["row", "col"], "left_anti").select(F.col("src").alias("cell")).distinct()
+
+
+def _solve(plus: Callable[[float, float], float], better: Callable[[float, float], bool], sign: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Relaxes one block from its offers until nothing changes, the best value first."""
+
+    def run(offers: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list] = {}
+        for src, dst, w, to, own in zip(edges["src"], edges["dst"], edges["w"], edges["to"], edges["from"]):
+            near.setdefault(src, []).append((dst, w, to if to != own else None))
+        value = {c: v for c, v, old in zip(offers["cell"], offers["value"], offers["settled"]) if old}
+        queue = []
+        for c, v, old in zip(offers["cell"], offers["value"], offers["settled"]):
+            if not old and (c not in value or better(v, value[c])):
+                value[c] = v
+                queue.append((sign * v, c))
+        heapq.heapify(queue)
+        out = {}
+        while queue:
+            key, c = heapq.heappop(queue)
+            if sign * key != value[c]:
+                continue
+            for dst, w, to in near.get(c, ()):
+                v = plus(value[c], w)
+                if to is not None:
+                    if (to, dst) not in out or better(v, out[to, dst]):
+                        out[to, dst] = v
+                elif dst not in value or better(v, value[dst]):
+                    value[dst] = v
+                    heapq.heappush(queue, (sign * v, dst))
+        name = offers["block"].iloc[0] if len(offers) else None
+        rows = [(name, c, v, True) for c, v in value.items()] + [(to, c, v, False) for (to, c), v in out.items()]
+        return pd.DataFrame(rows, columns=["block", "cell", "value", "settled"])
+
+    return run
+
+
+def relax(start: DataFrame, edges: DataFrame, weight: str, plus: Callable, better: Callable, sign: int) -> DataFrame:
+    """Fixpoint (cell, value) of value(dst) = best of plus(value(src), weight) over the edges, from start(cell, value).
+
+    ``sign``: 1 if less is better, -1 if more is. Python works on one block of cells at a time.
+    """
+    held = edges.select("src", "dst", F.col(weight).cast("double").alias("w"), "from", "to")
+    homes = held.select(F.col("src").alias("cell"), F.col("from").alias("block")).distinct()
+    lone = F.concat(F.lit("cell "), F.col("cell").cast("string"))  # a cell without neighbours is a block of its own
+    now = start.join(homes, "cell", "left").select(F.coalesce("block", lone).alias("block"), "cell", F.col("value").cast("double").alias("value"), F.lit(False).alias("settled"))
+    best, solve = (F.min if sign > 0 else F.max), _solve(plus, better, sign)
+    blocks = held.withColumnRenamed("from", "block").withColumn("from", F.col("block"))
     while True:
-        offers = edges.join(now, F.col("src") == F.col("cell")).select(F.col("dst").alias("cell"), step.alias("value"))
-        new = now.unionByName(offers).groupBy("cell").agg(combine("value").alias("value"))
-        new = _cut(new)
-        old = now.withColumnRenamed("value", "old")
-        moved = new.join(old, "cell", "left").where(F.col("old").isNull() | better(F.col("value"), F.col("old")))
-        if not moved.limit(1).count():
-            return new
-        now = new
+        woken = now.where("not settled").select("block").distinct()
+        idle, busy = now.join(woken, "block", "left_anti"), now.join(woken, "block", "left_semi")
+        edges_of = blocks.join(woken, "block", "left_semi")
+        solved = busy.groupBy("block").cogroup(edges_of.groupBy("block")).applyInPandas(solve, "block string, cell long, value double, settled boolean")
+        now = _cut(idle.unionByName(solved))
+        settled = now.where("settled").groupBy("block", "cell").agg(best("value").alias("value"))
+        fresh = now.where("not settled").groupBy("block", "cell").agg(best("value").alias("value"))
+        old = settled.withColumnRenamed("value", "old")
+        gain = F.col("old").isNull() | ((F.col("value") < F.col("old") - 1e-12) if sign > 0 else (F.col("value") > F.col("old")))
+        fresh = _cut(fresh.join(old, ["block", "cell"], "left").where(gain).drop("old"))
+        if not fresh.limit(1).count():
+            return settled.select("cell", "value")
+        now = settled.withColumn("settled", F.lit(True)).unionByName(fresh.withColumn("settled", F.lit(False)))
 
 
 def component(edges: DataFrame, seed: int) -> DataFrame:
-    """cell: all cells that the seed reaches."""
+    """cell: all cells that the seed reaches; a seed that isn't on the water is an error."""
+    if not edges.where(F.col("src") == seed).limit(1).count():
+        raise ValueError(f"cell {seed} isn't connected water")
     start = edges.sparkSession.createDataFrame([(seed, 0.0)], "cell long, value double")
-    return relax(start, edges, F.col("value"), F.min, lambda new, old: F.lit(False)).select("cell")
+    return relax(start, edges.withColumn("none", F.lit(0.0)), "none", lambda v, w: v, lambda new, old: False, 1).select("cell")
+
+
+def shore_sources(cells: DataFrame, water: DataFrame, cols: int | None = None) -> DataFrame:
+    """cell: water(cell, row, col, ...) that touches land of ``cells`` and lies within the map on all sides."""
+    land = cells.join(water.select("cell"), "cell", "left_anti").select("row", "col")
+    touching = _neighbours(water, cols).join(land, ["row", "col"], "left_semi").select(F.col("src").alias("cell")).distinct()
+    return touching.join(truncated(cells, cols), "cell", "left_anti")
 
 
 def shore_distance(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """cell, value: the least of a source's own distance and the path to it, over sources(cell, value)."""
-    return relax(sources, edges, F.col("value") + F.col("km"), F.min, lambda new, old: new < old - 1e-12)
+    return relax(sources, edges, "km", lambda v, w: v + w, lambda new, old: new < old - 1e-12, 1)
 
 
 def access_width(depth: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
     """cell, value: twice the largest least distance to shore along a path from the seed; depth(cell, d)."""
     start = depth.where(F.col("cell") == seed).select("cell", F.col("d").alias("value"))
     wide = edges.join(depth.select(F.col("cell").alias("dst"), "d"), "dst")
-    got = relax(start, wide, F.least("value", "d"), F.max, lambda new, old: new > old)
+    got = relax(start, wide, "d", min, lambda new, old: new > old, -1)
     return got.select("cell", (2 * F.col("value")).alias("value"))
 
 
@@ -98,12 +197,98 @@ def decide(points: DataFrame, tree: DataFrame, levels: int) -> DataFrame:
     return best.select("id", "b.legal", "b.budget", "b.level")
 
 
-def contains(points: DataFrame, segments: DataFrame) -> DataFrame:
+def contains(points: DataFrame, segments: DataFrame, bands: int = 256) -> DataFrame:
     """id, inside: even-odd rule of points(id, x, y) against segments(x1, y1, x2, y2).
 
-    Segments are sent to all tasks only while Spark's own size threshold allows; beyond it the condition is a
-    nested-loop join by blocks of points.
+    A point meets the segments of its own band of y by an equi-join, not all of them.
     """
-    cross = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1")))
-    hits = points.join(segments, cross).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    span = segments.agg(F.min(F.least("y1", "y2")).alias("lo"), F.max(F.greatest("y1", "y2")).alias("hi")).first()
+    low = span["lo"] or 0.0
+    tall = max(((span["hi"] or 0.0) - low) / bands, 1e-9)
+    band = lambda y: F.floor((y - low) / tall)
+    near = segments.where("y1 <> y2").withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    cross = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    hits = points.withColumn("band", band(F.col("y"))).join(near, "band").where(cross).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return points.select("id").join(hits, "id", "left").select("id", (F.pmod(F.coalesce("n", F.lit(0)), F.lit(2)) == 1).alias("inside"))
+
+
+def nearest_shore_km(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """id, km: to the boundary point nearest in degrees, as a great circle; points(id, x, y), segments(x1, y1, x2, y2).
+
+    The boundary is meant to be of a box's size; each point keeps only its nearest by a partial aggregate.
+    """
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    square = dx * dx + dy * dy
+    share = F.when(square > 0, ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / square).otherwise(0.0)
+    share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    both = points.join(segments).withColumn("f", share).withColumns({"px": F.col("x1") + F.col("f") * dx, "py": F.col("y1") + F.col("f") * dy})
+    far = F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2)
+    best = both.groupBy("id", "x", "y").agg(F.min_by(F.struct("px", "py"), F.struct(far, "px", "py")).alias("p"))
+    return best.select("id", great_circle_km(F.col("y"), F.col("x"), F.col("p.py"), F.col("p.px")).alias("km"))
+
+
+def deepest(points: DataFrame, tree: DataFrame, levels: int, k: float, w: float) -> DataFrame:
+    """id, km: shore distance at the finest level stored without a gap from the coarsest down, of points(id, row, col).
+
+    The budget there plus k + w / 2; outside the map infinite, and null where that level is illegal.
+    """
+    at = points.select("id", F.posexplode(F.array(*[F.struct(F.floor(F.col("row") / 2**n).cast("long").alias("row"), F.floor(F.col("col") / 2**n).cast("long").alias("col")) for n in range(levels)])).alias("level", "c"))
+    found = at.select("id", "level", "c.row", "c.col").join(tree, ["level", "row", "col"], "left")
+    hole = F.coalesce(F.max(F.when(F.col("lo").isNull(), F.col("level"))), F.lit(-1))
+    top = found.groupBy("id").agg(hole.alias("hole"), F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("level", "lo", "budget"))).alias("all"))
+    last = F.array_min(F.filter("all", lambda x: x["level"] > F.col("hole")))
+    return top.select("id", last.alias("x")).select("id", F.when(F.col("x").isNull(), float("inf")).when(F.col("x.lo") >= 0, F.col("x.budget") + k + w / 2).alias("km"))
+
+
+def leaves(tree: DataFrame, finest: int = 0) -> DataFrame:
+    """level, row, col, legal, illegal of the cells of the levels from ``finest`` up."""
+    return tree.where(F.col("level") >= finest).select("level", "row", "col", (F.col("lo") >= 0).alias("legal"), (F.col("hi") < 0).alias("illegal"))
+
+
+def furthest(cells: DataFrame) -> DataFrame:
+    """cells, connected, lat, lng, km: counts of cells(cell, lat, lng, km), those with km, and the place of the largest."""
+    return cells.agg(F.count(F.lit(1)).alias("cells"), F.count("km").alias("connected"), F.max(F.struct("km", "lat", "lng")).alias("m")).select("cells", "connected", "m.lat", "m.lng", "m.km")
+
+
+def budget_walk(steps: DataFrame) -> DataFrame:
+    """run, step, legal, left, asked of steps(run, step, km, legal, budget), budget being what a lookup there gives.
+
+    Distance is taken off the budget, and the map is asked again only when nothing is left; an illegal place has none.
+    A fold over each run, in the order of its steps.
+    """
+    row = F.struct("step", "km", "legal", F.col("budget").cast("double").alias("budget"))
+    walks = steps.groupBy("run").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    none = F.array().cast("array<struct<step:bigint,legal:boolean,left:double,asked:boolean>>")
+    start = F.struct(F.lit(0.0).alias("left"), none.alias("out"))
+
+    def one(held: Column, x: Column) -> Column:
+        rest = held["left"] - x["km"]
+        ask = rest <= 0
+        left = F.when(~ask, rest).when(x["legal"], x["budget"]).otherwise(0.0)
+        made = F.struct(x["step"].cast("long").alias("step"), (~ask | x["legal"]).alias("legal"), left.alias("left"), ask.alias("asked"))
+        return F.struct(left.alias("left"), F.concat(held["out"], F.array(made)).alias("out"))
+
+    return walks.select("run", F.explode(F.aggregate("rows", start, one, lambda held: held["out"])).alias("x")).select("run", "x.*")
+
+
+def settled_pyramid(base: DataFrame, levels: int, floor_level: int) -> DataFrame:
+    """level, row, col, lo, hi, budget from the coarsest level down, without what a coarser level has settled.
+
+    base(row, col, margin, budget) is level 0. A cell with lo < 0 <= hi is undecided; it and the cells around it stay
+    open, all others are settled, and what they cover is left out of finer levels. Above ``floor_level`` nothing is
+    settled, so lookups there always go on. Each level is one equi-join.
+    """
+    full = pyramid(base, levels)
+    open_, out = None, None
+    for level in range(levels - 1, -1, -1):
+        here = full.where(F.col("level") == level)
+        if open_ is not None:
+            here = here.join(open_.select(F.col("row").alias("pr"), F.col("col").alias("pc")), (F.floor(F.col("row") / 2) == F.col("pr")) & (F.floor(F.col("col") / 2) == F.col("pc")), "left_semi")
+        out = here if out is None else out.unionByName(here)
+        if level > floor_level:
+            open_ = here.select("row", "col")
+        else:
+            ring = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+            around = here.where("lo < 0 and hi >= 0").withColumn("s", ring).select((F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
+            open_ = around.distinct()
+    return out

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Axes:
@@ -50,6 +54,14 @@ def chunk_plan(nt: int, frame_bytes: int, limit: int) -> list[tuple[int, int]]:
     return [(lo, min(lo + n, nt)) for lo in range(0, nt - 1, n - 1)]
 
 
+def chunk_parts(nt: Column, frame_bytes: int, limit: int) -> Column:
+    """The same plan for a column of frame counts: an array of structs (part, lo, hi)."""
+    n = max(1, limit // frame_bytes)
+    step = max(1, n - 1)
+    last = F.when(nt <= n, F.lit(0)).otherwise(F.ceil((nt - (1 if n > 1 else 0)) / F.lit(float(step))) - 1).cast("long")
+    return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda p: F.struct(p.alias("part"), (p * step).alias("lo"), F.least(p * step + n, nt).alias("hi")))
+
+
 def part_name(stem: str, index: int, count: int, suffix: str) -> str:
     return f"{stem}{suffix}" if count == 1 else f"{stem}.{index:03d}{suffix}"
 
@@ -94,17 +106,44 @@ def expand_runs(config: dict) -> list[dict]:
     return out
 
 
-def time_blocks(start: int, end: int, seconds: int) -> list[tuple[int, int]]:
-    """Consecutive requests of at most so many seconds, both ends inclusive, without overlap."""
-    return [(t, min(t + seconds - 1, end)) for t in range(start, end + 1, seconds)]
+def time_blocks(start: int, end: int, days: int) -> list[tuple[int, int]]:
+    """Closed blocks of whole days, ``days`` each at most, from the day of ``start`` to that of ``end``; both in seconds.
 
+    A block ends one second before the next begins, the last at the end of the last day.
+    """
+    first, last = start // 86400, end // 86400
+    if last < first or days < 1:
+        raise ValueError("the window ends before it begins")
+    return [(d * 86400, min(d + days, last + 1) * 86400 - 1) for d in range(first, last + 1, days)]
 
-def space_blocks(west: float, south: float, east: float, north: float, step: float) -> list[tuple[float, float, float, float]]:
-    out, lat = [], south
-    while lat < north:
-        lon = west
-        while lon < east:
-            out.append((lon, lat, min(lon + step, east), min(lat + step, north)))
-            lon += step
-        lat += step
-    return out
+
+def day_end(text: str) -> int:
+    """Epoch seconds of a stamp; a bare date means the last second of that day."""
+    return parse_start(f"{text}T23:59:59Z") if len(text) == 10 else parse_start(text)
+
+
+def space_blocks(west: float, south: float, east: float, north: float, step: float, gap: float = 0.0) -> list[tuple[float, float, float, float]]:
+    """Tiles (west, south, east, north) of at most ``step`` degrees, counted from the corner, so that edges don't drift.
+
+    ``gap``: a tile's east and north edges stop that much before the next tile's first point, so neighbours share none.
+    """
+    if not (west < east and south < north and step > 0):
+        raise ValueError("a box needs a positive size and step")
+    count = lambda lo, hi: max(1, math.ceil((hi - lo) / step - 1e-9))
+    edge = lambda lo, hi, i, n: hi if i == n - 1 else lo + (i + 1) * step - gap
+    rows, cols = count(south, north), count(west, east)
+    return [(west + c * step, south + r * step, edge(west, east, c, cols), edge(south, north, r, rows)) for r in range(rows) for c in range(cols)]
+
+
+def block_name(stem: str, start: int, end: int, box: tuple[float, float, float, float] | None = None, suffix: str = ".nc") -> str:
+    """A file name from the days, and from the tile's corners if there are several."""
+    day = lambda t: datetime.fromtimestamp(t, timezone.utc).strftime("%Y%m%d")
+    place = "" if box is None else "_" + "_".join(f"{v:g}" for v in box)
+    return f"{stem}_{day(start)}_{day(end)}{place}{suffix}"
+
+
+def download_plan(stem: str, start: int, end: int, days: int, box: tuple[float, float, float, float], step: float, there: set[str] = frozenset()) -> list[dict]:
+    """Requests (name, start, end, west, south, east, north) for what isn't ``there`` yet."""
+    tiles = space_blocks(*box, step)
+    plan = [(block_name(stem, a, b, t if len(tiles) > 1 else None), a, b, *t) for a, b in time_blocks(start, end, days) for t in tiles]
+    return [dict(zip(("name", "start", "end", "west", "south", "east", "north"), p)) for p in plan if p[0] not in there]

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidalgrid.functions import geo
-from tidalgrid.operators import fields, tracks, voyage, water
-from tidalgrid.plans.axes import Axes
+from tidalgrid.operators import fields, layers, tracks, voyage, water
+from tidalgrid.plans.axes import Axes, chunk_parts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,11 +123,9 @@ def rate_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of each order's history, three rows a part at most, neighbours sharing one."""
+    """The parts of each supplier's history, thirty rows a part at most, neighbours sharing one."""
     n = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.when(F.col("n") <= 30, F.lit(1)).otherwise(F.ceil((F.col("n") - 1) / 29.0)).cast("long")
-    at = n.select("l_suppkey", "n", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    return at.select("l_suppkey", "part", (F.col("part") * 29).alias("lo"), F.least(F.col("part") * 29 + 30, F.col("n")).alias("hi"))
+    return n.select("l_suppkey", F.explode(chunk_parts(F.col("n"), 10, 300)).alias("x")).select("l_suppkey", "x.*")
 
 
 def union_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,11 +140,12 @@ def nearest_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def percentile_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.02).alias("lo"), F.percentile("value", 0.98).alias("hi")).select("event_type", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    got = layers.limits(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"])
+    return got.select("event_type", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("user_id").alias("cells"), F.min(seconds("ts")).alias("first"), F.max(seconds("ts")).alias("last"))
+    return layers.inventory(table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("cell"), seconds("ts").alias("t")), "event_type")
 
 
 def customer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +163,7 @@ def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apart = customer_places(spark, sf_dir).where("lat1 <> lat2 and lng1 <> lng2")
-    return apart.select("id", F.round(geo.initial_bearing(*map(F.col, PLACE)), 4).alias("deg"))
+    return customer_places(spark, sf_dir).select("id", F.pmod(F.round(geo.initial_bearing(*map(F.col, PLACE)), 4), F.lit(360.0)).alias("deg"))
 
 
 def destination_point(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +186,11 @@ def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bracket_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's value at noon of every fourth day, between the user's events of whole hours."""
+    """A user's value at noon of every day, between the user's events of whole hours."""
     series = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run"), (F.floor(seconds("ts") / 3600) * 3600).alias("t")).agg(F.max("value").alias("value"))
-    days = F.explode(F.sequence(F.lit(0), F.lit(28), F.lit(4))).alias("d")
+    days = F.explode(F.sequence(F.lit(0), F.lit(28))).alias("d")
     asked = series.select("run").distinct().select("run", days).select((F.col("run") * 100 + F.col("d")).alias("id"), "run", (F.lit(T0 + 43200 + 900) + F.col("d") * DAY).alias("t"))
-    return tracks.value_at(asked, series).select("id", F.round("value", 5).alias("value"))
+    return tracks.value_at(asked, series).select("id", (F.floor(F.col("value") * 1e5 + 0.5) / 1e5).alias("value"))
 
 
 def voyage_track(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +199,7 @@ def voyage_track(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("run_"), key.cast("string")).alias("run"), F.lit(T0).cast("long").alias("start_time"), (key % 100 / 10.0).alias("start_lat"), (key % 70 / 10.0).alias("start_lng"),
         (key % 90 / 10.0 + 2).alias("end_lat"), (key % 60 / 10.0 + 2).alias("end_lng"), F.lit(48).alias("max_steps"),
     )
-    return voyage.simulate(runs)
+    return voyage.simulate(runs).select("run", "step", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in voyage.NAMES[2:]])
 
 
 #: A 24 x 40 map; land is a rule of row and column, so SQL can state it.
@@ -266,16 +264,74 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a sweep for each nation: zero-padded names, spaced starts, durations parsed from text."""
-    every = geo.seconds_of(F.concat((F.col("n_nationkey") % 5 + 1).cast("string"), F.lit(".5h")))
-    runs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), every.alias("every"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("step"))
-    return runs.select(F.concat(F.lit("run"), F.col("n").cast("string"), F.lit("_"), F.lpad(F.col("step").cast("string"), 2, "0")).alias("name"), (F.lit(T0) + F.col("every") * F.col("step")).alias("start_time"))
+    every = F.concat((F.col("n_nationkey") % 5 + 1).cast("string"), F.lit(".5h"))
+    runs = table(spark, sf_dir, "nation").select(F.concat(F.lit("run"), F.col("n_nationkey").cast("string")).alias("name"), F.lit(T0).cast("long").alias("start_time"), F.lit(12).alias("count"), every.alias("every"))
+    return layers.expand_sweeps(runs).select("name", "start_time")
 
 
+GRID = """g AS (SELECT CAST(c // 30 AS INTEGER) AS i, CAST((c % 30) // 6 AS INTEGER) AS j, CAST(c % 6 AS INTEGER) AS k FROM range(0, 900) t(c)),
+full_cells AS (SELECT g.i, g.j, g.k, value FROM g LEFT JOIN cells ON g.i = cells.i AND g.j = cells.j AND g.k = cells.k)"""
+TRACKS = """tr AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS step,
+  CAST((o_orderkey * 13) % 1700 AS DOUBLE) / 10 - 85 AS lat, CAST((o_orderkey * 29) % 3600 AS DOUBLE) / 10 - 180 AS lng FROM orders)"""
+KM = """g AS (SELECT src, dst, 2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians(b.row - a.row) / 4), 2) + cos(radians(a.row * 0.5)) * cos(radians(b.row * 0.5)) * power(sin(radians(b.col - a.col) / 4), 2)))) AS km
+  FROM e JOIN w a ON a.cell = src JOIN w b ON b.cell = dst)"""
+
 SQL: dict[str, str] = {
     "cube_dense": f"""WITH {CELLS}, g AS (SELECT CAST(c // 30 AS INTEGER) AS i, CAST((c % 30) // 6 AS INTEGER) AS j, CAST(c % 6 AS INTEGER) AS k FROM range(0, 900) t(c))
 SELECT g.i, g.j, g.k, value FROM g LEFT JOIN cells ON g.i = cells.i AND g.j = cells.j AND g.k = cells.k""",
     "sample_trilinear": f"""WITH {CELLS}, {POINTS}, {LOCATED}
 SELECT id, round(sum(w * value), 5) AS value FROM corners JOIN cells USING (i, j, k) GROUP BY id HAVING count(*) = 8""",
+    "vector_sample": f"""WITH {CELLS}, {POINTS}, {LOCATED}, cells2 AS (
+  SELECT CAST(floor((epoch(ts) - {T0}) / {DAY}) AS INTEGER) AS i, CAST(user_id % 5 AS INTEGER) AS j, CAST((user_id // 5) % 6 AS INTEGER) AS k, avg(event_id % 100) AS v
+  FROM events WHERE floor((epoch(ts) - {T0}) / {DAY}) BETWEEN 0 AND 29 GROUP BY 1, 2, 3),
+a AS (SELECT id, sum(w * value) AS u FROM corners JOIN cells USING (i, j, k) GROUP BY id HAVING count(*) = 8),
+b AS (SELECT id, sum(w * v) AS v FROM corners JOIN cells2 USING (i, j, k) GROUP BY id HAVING count(*) = 8)
+SELECT id, round(sqrt(u * u + v * v), 4) AS speed, round((degrees(atan2(u, v)) + 360) % 360, 4) AS heading FROM a JOIN b USING (id)""",
+    "quantise": f"""WITH {CELLS}, {GRID}, r AS (SELECT CAST(min(value) AS DOUBLE) AS o, greatest(max(value) - min(value), 1e-12) / 65534 AS s FROM cells),
+q AS (SELECT i, j, k, value, o, s, least(greatest(round_even(CAST(CAST(CAST(value AS FLOAT) - CAST(o AS FLOAT) AS FLOAT) / CAST(s AS FLOAT) AS FLOAT), 0), 0), 65534) AS raw FROM full_cells, r)
+SELECT i, j, k, round(raw * s + o, 2) AS value FROM q""",
+    "quantise_error": f"""WITH {CELLS}, {GRID}, r AS (SELECT CAST(min(value) AS DOUBLE) AS o, greatest(max(value) - min(value), 1e-12) / 65534 AS s FROM cells),
+q AS (SELECT value, s, o + s * round_even((value - o) / s, 0) AS back FROM full_cells, r)
+SELECT count(*) AS cells, count(*) FILTER (value IS NULL OR abs(value - back) <= greatest(s, 1e-3)) AS good FROM q""",
+    "voyage_track": f"""WITH RECURSIVE c AS (SELECT concat('run_', CAST(c_custkey AS VARCHAR)) AS run, CAST(c_custkey % 100 AS DOUBLE) / 10 AS lat, CAST(c_custkey % 70 AS DOUBLE) / 10 AS lng,
+  CAST(c_custkey % 90 AS DOUBLE) / 10 + 2 AS elat, CAST(c_custkey % 60 AS DOUBLE) / 10 + 2 AS elng FROM customer),
+v AS (SELECT run, elat, elng, 0 AS step, lat, lng, CAST(1000 AS FLOAT) AS stored, CAST(0 AS DOUBLE) AS far, CAST(0 AS DOUBLE) AS speed, CAST(0 AS FLOAT) AS charge, CAST(99 AS DOUBLE) AS gone FROM c
+UNION ALL
+SELECT run, elat, elng, step + 1, degrees(asin(sine)), moved - 360 * round_even(moved / 360, 0), least(CAST(2000 AS FLOAT), stored + (charge - (motor + other))), far, speed, charge, far FROM (
+  SELECT *, lng + degrees(atan2(sin(course) * sin(arc) * cos(a), cos(arc) - sin(a) * sine)) AS moved FROM (
+  SELECT *, sin(a) * cos(arc) + cos(a) * sin(arc) * cos(course) AS sine FROM (
+  SELECT *, speed * 3600 / 6371008.8 AS arc, atan2(speed * sin(heading), speed * cos(heading)) AS course FROM (
+  SELECT run, elat, elng, step, lat, lng, stored, motor, other, a, CAST(5 AS FLOAT) * sun AS charge, 3.0 * CAST(motor AS DOUBLE) / 500 AS speed,
+    atan2(sin(d) * cos(b), cos(a) * sin(b) - sin(a) * cos(b) * cos(d)) AS heading,
+    2 * 6371.0088 * asin(sqrt(least(1.0, power(sin((b - a) / 2), 2) + cos(a) * cos(b) * power(sin(d / 2), 2)))) AS far FROM (
+  SELECT *, radians(lat) AS a, radians(elat) AS b, radians(elng - lng) AS d, CAST(CASE WHEN stored <= 600 THEN 0 ELSE 500 END AS FLOAT) AS motor,
+    CAST(CASE WHEN stored <= 0 THEN 0 WHEN stored <= 600 THEN 25 ELSE 100 END AS FLOAT) AS other,
+    CAST(1000 * greatest(0.0, sin(2 * pi() * ((({T0} + step * 3600) / CAST(3600 AS DOUBLE) + lng / 15) / 24 - 0.25))) AS FLOAT) AS sun
+  FROM v WHERE step < 48 AND gone >= 10))))))
+SELECT run, step, round(lat, 2) AS lat, round(lng, 2) AS lng, CAST(step AS DOUBLE) AS time_h, round(CAST(stored AS DOUBLE), 2) AS power_stored_wh, round(far, 2) AS distance_to_end_km, round(speed, 2) AS powered_velocity_ms,
+  round(CAST(charge AS DOUBLE), 2) AS solar_power_in_w, CAST(0 AS DOUBLE) AS ocean_current_heading_deg, CAST(0 AS DOUBLE) AS ocean_current_velocity_ms, CAST(0 AS DOUBLE) AS environment_velocity_ms, round(speed, 2) AS combined_velocity_ms FROM v""",
+    "nearest_time": f"""WITH t AS (SELECT DISTINCT CAST(floor(epoch(ts) / 7200) AS BIGINT) * 7200 AS tm FROM events WHERE event_type = 'error'),
+q AS (SELECT o_orderkey AS id, {T0} + (o_orderkey * 97) % {30 * DAY} AS t FROM orders), p AS (SELECT id, q.t, tm, row_number() OVER (PARTITION BY id ORDER BY abs(q.t - tm), tm) AS n FROM q, t)
+SELECT id, t, tm AS "at" FROM p WHERE n = 1""",
+    "destination_point": f"""WITH {PLACES}, x AS (SELECT id, radians(lat1) AS a, lng1, radians(lat2 + 90.5) AS c, 500 / 6371.0088 AS d FROM p),
+y AS (SELECT *, sin(a) * cos(d) + cos(a) * sin(d) * cos(c) AS s FROM x)
+SELECT id, round(degrees(asin(s)), 4) AS lat, round((lng1 + degrees(atan2(sin(c) * sin(d) * cos(a), cos(d) - sin(a) * s)) + 540) % 360 - 180, 4) AS lon FROM y""",
+    "leg_lengths": f"""WITH {TRACKS}, l AS (SELECT run, step, lat, lng, lag(lat) OVER w AS a, lag(lng) OVER w AS b FROM tr WINDOW w AS (PARTITION BY run ORDER BY step)),
+d AS (SELECT run, step, CASE WHEN a IS NULL THEN 0 ELSE 2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * power(sin(radians(lng - b) / 2), 2)))) END AS km FROM l)
+SELECT run, step, round(km, 3) AS leg_km, round(sum(km) OVER (PARTITION BY run ORDER BY step), 3) AS run_km FROM d""",
+    "bracket_interp": f"""WITH s AS (SELECT user_id AS run, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS t, max(value) AS v FROM events GROUP BY 1, 2),
+q AS (SELECT DISTINCT run * 100 + d AS id, run, {T0 + 43200 + 900} + d * {DAY} AS t FROM s, range(0, 29) r(d)),
+a AS (SELECT q.id, max(s.t) AS t0, arg_max(s.v, s.t) AS v0 FROM q JOIN s ON s.run = q.run AND s.t <= q.t GROUP BY 1),
+b AS (SELECT q.id, min(s.t) AS t1, arg_min(s.v, s.t) AS v1 FROM q JOIN s ON s.run = q.run AND s.t > q.t GROUP BY 1)
+SELECT q.id, floor(coalesce(v0 + ((q.t - t0) / CAST(t1 - t0 AS DOUBLE)) * (v1 - v0), v0, v1) * 1e5 + 0.5) / 1e5 AS value FROM q LEFT JOIN a ON a.id = q.id LEFT JOIN b ON b.id = q.id""",
+    "bottleneck_width": f"""WITH RECURSIVE {MAP}, {EDGES}, d AS (SELECT cell, CAST((row * 5 + col * 11) % 17 + 1 AS DOUBLE) AS d FROM w),
+r(cell, v) USING KEY (cell) AS (SELECT cell, d FROM d WHERE cell = 1 UNION
+ SELECT x.cell, x.v FROM (SELECT e.dst AS cell, max(least(r.v, d.d)) AS v FROM r JOIN e ON e.src = r.cell JOIN d ON d.cell = e.dst GROUP BY e.dst) x LEFT JOIN recurring.r o ON o.cell = x.cell WHERE o.cell IS NULL OR x.v > o.v)
+SELECT cell, 2 * v AS width FROM r""",
+    "multi_source_distance": f"""WITH RECURSIVE {MAP}, {EDGES}, {KM},
+r(cell, v) USING KEY (cell) AS (SELECT cell, CAST(col AS DOUBLE) AS v FROM w WHERE row = 0 UNION
+ SELECT x.cell, x.v FROM (SELECT g.dst AS cell, min(r.v + g.km) AS v FROM r JOIN g ON g.src = r.cell GROUP BY g.dst) x LEFT JOIN recurring.r o ON o.cell = x.cell WHERE o.cell IS NULL OR x.v < o.v - 1e-12)
+SELECT cell, round(v, 3) AS km FROM r""",
     "bbox_dateline": f"""WITH {CELLS}, g AS (SELECT CAST(c // 30 AS INTEGER) AS i, CAST((c % 30) // 6 AS INTEGER) AS j, CAST(c % 6 AS INTEGER) AS k FROM range(0, 900) t(c)),
 x AS (SELECT g.i, g.j, g.k, CAST(-60 + g.j * 30 AS DOUBLE) AS lat, CAST((-180 + g.k * 60 - 120 + 720) % 360 AS DOUBLE) AS o FROM g)
 SELECT x.i, x.j, x.k, lat, o + 120 AS lon, value FROM x LEFT JOIN cells ON x.i = cells.i AND x.j = cells.j AND x.k = cells.k WHERE o <= 180 AND lat BETWEEN -30 AND 60""",
@@ -294,8 +350,8 @@ SELECT r.source, r.t, r.value FROM r JOIN l ON r.source = l.source WHERE l.after
     "percentile_limits": """SELECT event_type, round(quantile_cont(value, 0.02), 6) AS lo, round(quantile_cont(value, 0.98), 6) AS hi FROM events GROUP BY 1""",
     "inventory": """SELECT event_type, count(*) AS frames, count(DISTINCT user_id) AS cells, CAST(floor(min(epoch(ts))) AS BIGINT) AS first, CAST(floor(max(epoch(ts))) AS BIGINT) AS last FROM events GROUP BY 1""",
     "haversine": f"""WITH {PLACES} SELECT id, round(2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lng2 - lng1) / 2), 2)))), 4) AS km FROM p""",
-    "bearing": f"""WITH {PLACES}, x AS (SELECT id, degrees(atan2(sin(radians(lng2 - lng1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lng2 - lng1)))) AS d FROM p WHERE lat1 <> lat2 AND lng1 <> lng2)
-SELECT id, round(CASE WHEN d < 0 THEN d + 360 ELSE d END, 4) AS deg FROM x""",
+    "bearing": f"""WITH {PLACES}, x AS (SELECT id, degrees(atan2(sin(radians(lng2 - lng1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lng2 - lng1)))) AS d FROM p)
+SELECT id, round(CASE WHEN d < 0 THEN d + 360 ELSE d END, 4) % 360 AS deg FROM x""",
     "track_summary": """WITH t AS (SELECT o_custkey AS run, CAST((o_orderkey * 13) % 1700 AS DOUBLE) / 10 - 85 AS lat, CAST((o_orderkey * 29) % 3600 AS DOUBLE) / 10 - 180 AS lng FROM orders)
 SELECT run, count(*) AS points, min(lat) AS min_lat, max(lat) AS max_lat, min(lng) AS min_lng, max(lng) AS max_lng FROM t GROUP BY run""",
     "components": f"""WITH RECURSIVE {MAP}, {EDGES}, r AS (SELECT CAST(1 AS BIGINT) AS cell UNION SELECT e.dst FROM r JOIN e ON e.src = r.cell) SELECT cell FROM r""",
