@@ -22,13 +22,16 @@ ALNUM = bytes(
 class Scratch:
     """Intermediate tables in the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    A written table cuts lineage and survives a lost executor. Only where the setting is absent,
-    as in tests, a temporary folder takes its place.
+    A written table cuts lineage and survives a lost executor. Only where the setting is absent
+    and all runs on one machine, as in tests, a temporary folder takes its place.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidalgrid-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = root or tempfile.mkdtemp(prefix="tidalgrid-")
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
