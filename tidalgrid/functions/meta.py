@@ -103,10 +103,10 @@ def field_bytes(ny: Column, nx: Column, nt: Column, itemsize: Column) -> Column:
 
 
 def human(size: Column) -> Column:
-    """Bytes with a unit of 1024: whole below a kilobyte, else one decimal."""
+    """Bytes with a unit of 1024: whole below a kilobyte, else one decimal, halves to even."""
     out = F.concat(size.cast("long").cast("string"), F.lit(" B"))
     for n, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(size >= 1024**n, F.concat(F.format_string("%.1f", size / 1024.0**n), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size >= 1024**n, F.concat(F.format_string("%.1f", F.rint(size / 1024.0**n * 10) / 10), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

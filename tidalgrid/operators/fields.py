@@ -90,7 +90,7 @@ def sample(points: DataFrame, cube: DataFrame, axes: Axes, side: int = SIDE) ->
         line = lambda j: corner(j, left) * (1 - F.col("fx")) + corner(j, right) * F.col("fx")
         return line("j0") * (1 - F.col("fy")) + line("j1") * F.col("fy")
 
-    last = F.col("i1") == F.col("i0")
+    last = (F.col("i1") == F.col("i0")) | F.col("b").isNull()  # no frame follows
     value = plane(F.col("a")) * (1 - F.col("ft")) + F.when(last, plane(F.col("a"))).otherwise(plane(F.col("b"))) * F.col("ft")
     return both.select("id", value.alias("value")).where(F.col("value").isNotNull())
 

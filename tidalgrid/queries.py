@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidalgrid import more_queries
 from tidalgrid.functions import geo
 from tidalgrid.operators import fields, layers, tracks, voyage, water
 from tidalgrid.plans.axes import Axes, chunk_parts
@@ -378,8 +379,8 @@ def queries() -> dict[str, Query]:
         leg_lengths, track_summary, bracket_interp, voyage_track, components, bottleneck_width, multi_source_distance,
         pyramid, navmap_decide, point_in_polygon, sweep,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | more_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | more_queries.oracle_sql()

@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def members(data: bytes, keep=lambda name: True) -> dict[str, np.ndarray]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for name in z.namelist():
             if name.endswith(".npy") and keep(name[:-4]):
-                out[name[:-4]] = np.load(io.BytesIO(z.read(name)), allow_pickle=False)
+                out[name[:-4]] = np.load(io.BytesIO(z.read(name)), allow_pickle=False, max_header_size=1 << 20)
     return out
 
 
@@ -51,20 +53,20 @@ def write_field(path: str, axes: Axes, raw: np.ndarray, scale: float = 1.0, offs
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """path, i, t, values of all archives at a path; holes are null. Spark reads the bytes, from any store."""
 
-    def run(batches):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = data.as_py()
                 axes, got = axes_of(data), members(data, lambda n: n in ("data", "scale", "offset"))
                 for i, frame in enumerate(got["data"]):
                     flat = frame.ravel().astype(float)
-                    if got["data"].dtype == np.uint16:
-                        flat = np.where(flat == 65535, np.nan, flat * float(got["scale"]) + float(got["offset"]))
-                    values = [None if np.isnan(v) else float(v) for v in flat]
-                    yield pd.DataFrame([(name, i, axes.t0 + i * axes.dt, values)], columns=["path", "i", "t", "values"])
+                    hole = flat == 65535 if frame.dtype == np.uint16 else np.isnan(flat)
+                    if frame.dtype == np.uint16:  # in single precision at the end, as a sampler returns it
+                        flat = (flat * float(got["scale"]) + float(got["offset"])).astype(np.float32).astype(float)
+                    values = pa.ListArray.from_arrays([0, len(flat)], pa.array(flat, mask=hole))
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([axes.t0 + i * axes.dt], pa.int64()), values], names=["path", "i", "t", "values"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, FRAMES)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, FRAMES)
 
 
 def union_parts(frames: DataFrame) -> DataFrame:
