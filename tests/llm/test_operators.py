@@ -276,6 +276,8 @@ def test_audio_alignment(spark):
     clips = [(50, song[10:70]), (51, song[:90]), (52, draw.uniform(-1, 1, 60).tolist()), (53, song[10:70]), (54, None)]
     media = audio_fingerprint.synthetic_media(spark.createDataFrame(clips, "vec_id long, embedding array<double>"))
     media = media.unionByName(spark.createDataFrame([(55, None), (56, bytearray(b"noise"))], "id long, data binary"))
+    small = {tuple(r) for r in audio_fingerprint.align(media, block_bytes=64).collect()}
+    assert small == {tuple(r) for r in audio_fingerprint.align(media).collect()}  # several blocks of queries, the same result
     got = {r["id"]: r for r in audio_fingerprint.align(media).collect()}
     assert (got[50]["best_id"], got[50]["best_offset"], got[50]["bit_errors"]) == (51, 10, 0.0)
     assert got[53]["class_id"] == 50 and got[52]["best_id"] is None and got[55]["n_frames"] == 0 and len(got) == 7

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ PITCHES = 12
 WIDTH = 7 * OVERLAP + 1
 #: Kind, first pitch class, height, width of the filters; kinds as in ``fingerprint``, widths given in frames that don't overlap.
 FILTERS = [(k, p, h, (w - 1) * OVERLAP + 1) for k, p, h, w in zip([0, 1, 2, 3] * 4, [0, 2, 4, 6, 1, 3, 5, 7, 0, 4, 2, 0, 6, 3, 0, 2], [6, 4, 6, 4, 4, 6, 4, 4, 12, 8, 10, 12, 6, 8, 10, 6], [8, 8, 6, 8, 4, 6, 8, 4, 8, 4, 8, 6, 4, 8, 8, 6])]
+#: Fingerprints of so many bytes of queries are sent to all tasks at a time.
+BLOCK_BYTES = 4 << 20
 #: Two-bit codes of the four levels; neighbours differ in one bit.
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
@@ -197,7 +200,46 @@ def best_shift(x: np.ndarray, y: np.ndarray, least_votes: int, most_errors: floa
     return None
 
 
-def align(media: DataFrame, every: int = 50, least_votes: int = 4, most_errors: float = 0.35) -> DataFrame:
+class Asked:
+    """A block of queries and an inverted list of their values: which query has a value, and in how many places."""
+
+    def __init__(self, rows: list[tuple[int, bytes]]):
+        self.ids, self.codes = [r[0] for r in rows], [np.frombuffer(r[1], "<u4") for r in rows]
+        found = [np.unique(c, return_counts=True) for c in self.codes]
+        values = np.concatenate([v for v, _ in found] or [np.empty(0, np.uint32)])
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        self.owner = np.repeat(np.arange(len(rows)), [len(v) for v, _ in found])[order]
+        self.places = np.concatenate([n for _, n in found] or [np.empty(0, np.int64)])[order]
+
+    def bounds(self, code: np.ndarray) -> np.ndarray:
+        """For each query, the most votes that any shift can have: at one shift a place meets one place at most."""
+        values, places = np.unique(code, return_counts=True)
+        low, high = np.searchsorted(self.values, values), np.searchsorted(self.values, values, "right")
+        each = high - low
+        at = np.arange(int(each.sum())) + np.repeat(low - (np.cumsum(each) - each), each)
+        return np.bincount(self.owner[at], np.minimum(self.places[at], np.repeat(places, each)), len(self.ids))
+
+
+def searched(groups: DataFrame, block: Broadcast, least_votes: int, most_errors: float) -> DataFrame:
+    """q, class_id, shift, bit_errors of the queries of a block and the recordings that match them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = block.value
+        for batch in batches:
+            found = []
+            for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                code = np.frombuffer(data, "<u4")
+                for k in np.flatnonzero(asked.bounds(code) >= least_votes).tolist():
+                    if asked.ids[k] != c and (made := best_shift(asked.codes[k], code, least_votes, most_errors)) is not None:
+                        found.append((asked.ids[k], c, *made))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], t) for n, t in enumerate(kinds)], names=["q", "class_id", "shift", "bit_errors"])
+
+    return groups.select("class_id", "code").mapInArrow(run, "q long, class_id long, shift int, bit_errors double")
+
+
+def align(media: DataFrame, every: int = 50, least_votes: int = 4, most_errors: float = 0.35, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_frames, code_crc32, class_id, best_id, best_offset, bit_errors for every row of media(id, data).
 
     Recordings of equal fingerprints are a class, named by its smallest id. Queries are the classes that hold an id
@@ -212,45 +254,19 @@ def align(media: DataFrame, every: int = 50, least_votes: int = 4, most_errors:
     named = made.where("id is not null and octet_length(code) > 0")
     groups = scratch.save(named.groupBy("code").agg(F.min("id").alias("class_id"), F.max((F.col("id") % every == 0).cast("int")).alias("query")), "classes")
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(np.frombuffer(c, "<u4"), return_counts=True) for c in batch.column(1).to_pylist()]
-            sizes = [len(v) for v, _ in found]
-            values, counts = (np.concatenate([f[k] for f in found] or [[]]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int32)), pa.array(np.repeat(batch.column(2).to_numpy(), sizes))],
-                names=["class_id", "value", "places", "query"],
-            )
-
-    places = groups.select("class_id", "code", "query").mapInArrow(unpack, "class_id long, value long, places int, query int")
-    places = scratch.save(places, "places")
-    asked = places.where("query = 1").select(F.col("class_id").alias("q"), F.col("places").alias("asked"), "value")
-    # at one shift a place meets one place at most, so the smaller counts of each value bound the votes
-    shared = asked.join(places.select("class_id", "places", "value"), "value").where("q <> class_id").groupBy("q", "class_id")
-    pairs = shared.agg(F.sum(F.least("asked", "places")).alias("bound")).where(F.col("bound") >= least_votes).select("q", "class_id")
-    codes = groups.select("class_id", "code")
-    pairs = pairs.join(codes.withColumnsRenamed({"class_id": "q", "code": "x"}), "q").join(codes.withColumnsRenamed({"code": "y"}), "class_id")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for q, c, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                made = best_shift(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least_votes, most_errors)
-                if made is not None:
-                    found.append((q, c, *made))
-            ids = [pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*ids, pa.array([r[2] for r in found], pa.int32()), pa.array([r[3] for r in found], pa.float64())],
-                names=["q", "class_id", "shift", "bit_errors"],
-            )
-
-    tested = pairs.select("q", "class_id", "x", "y").mapInArrow(verify, "q long, class_id long, shift int, bit_errors double")
-    top = tested.groupBy("q").agg(F.min(F.struct("bit_errors", "class_id", "shift")).alias("best"))
-    crc = lambda c: F.crc32(c)
+    asked = groups.where("query = 1").select("class_id", "code")
+    blocks = max(1, -(-(asked.agg(F.sum(F.octet_length("code"))).first()[0] or 0) // block_bytes))
+    tested = None
+    for k in range(blocks):  # the stated queries meet all recordings, a bounded block of them at a time
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == k)
+        block = media.sparkSession.sparkContext.broadcast(Asked([(r["class_id"], bytes(r["code"])) for r in part.collect()]))
+        found = searched(groups, block, least_votes, most_errors).groupBy("q").agg(F.min(F.struct("bit_errors", "class_id", "shift")).alias("best"))
+        found = scratch.save(found, f"best{k}")
+        tested = found if tested is None else tested.unionByName(found)
     return (
         made.join(groups.select("code", "class_id"), "code", "left")
-        .select("id", "n_frames", crc(F.col("code")).alias("code_crc32"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
-        .join(top.withColumnRenamed("q", "class_id"), "class_id", "left")
+        .select("id", "n_frames", F.crc32("code").alias("code_crc32"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
+        .join(tested.withColumnRenamed("q", "class_id"), "class_id", "left")
         .select("id", "n_frames", "code_crc32", "class_id", F.col("best.class_id").alias("best_id"), (F.col("best.shift") / OVERLAP).alias("best_offset"), F.col("best.bit_errors").alias("bit_errors"))
     )
 
