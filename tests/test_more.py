@@ -272,3 +272,33 @@ def test_metadata_edges(spark):
     back = x.select(*[F.round(c, 9).alias(n) for n, c in zip("ab", geo.from_xyz(F.col("x"), F.col("y"), F.col("z")))]).first()
     assert tuple(back) == (30.0, -120.0)
     assert synthetic.cube(spark, "small", 0).count() == 5 * 4 * 21 * 31
+
+
+def test_rings_and_swept_moves(spark, tmp_path):
+    square = "[[0,0],[4,0],[4,4],[0,4],[0,0]]"
+    hole = "[[1,1],[1,3],[3,3],[3,1],[1,1]]"
+    (tmp_path / "o.json").write_text('{"features": [{"geometry": {"type": "Polygon", "coordinates": [%s, %s]}}, {"geometry": {"type": "MultiPolygon", "coordinates": [[[[10,0],[12,0],[12,2],[10,2],[10,0]]]]}}]}' % (square, hole))
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 11.0, 1.0), (4, 20.0, 1.0)], "id long, x double, y double")
+    got = water.contains(points, water.rings(spark, str(tmp_path / "o.json")))
+    assert {r["id"]: r["inside"] for r in got.collect()} == {1: True, 2: False, 3: True, 4: False}
+    base = spark.createDataFrame([(r, c, -1.0 if c == 4 else 1.0, 1.0) for r in range(8) for c in range(8)], "row long, col long, margin double, budget double")
+    moves = spark.createDataFrame([(1, 0, 0, 0, 3), (2, 0, 0, 0, 7), (3, 0, 5, 7, 7)], "id long, row1 long, col1 long, row2 long, col2 long")
+    assert {r["id"]: r["legal"] for r in water.swept(moves, water.pyramid(base, 3), 3).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_config_and_labels(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "runs.yaml").write_text("defaults: {solar_field: sun.npz}\nruns:\n  - {name: a, start_time: 2024-01-01T00:00:00Z, sweep: {count: 2, every: 6h}}\n".replace("2024-01-01T00:00:00Z", "'2024-01-01T00:00:00Z'"))
+    assert [(r["name"], r["start_time"]) for r in plan.load_config(str(tmp_path / "runs.yaml"))] == [("a_0", 1704067200), ("a_1", 1704088800)]
+    assert plan.spread([1.0, 1.1, 5.0], 0.5) == [1.0, 1.5, 5.0] and plan.spread([3.0, 2.9], 1.0) == [3.9, 2.9]
+
+
+def test_replay_counts_hourly_distance(spark, tmp_path):
+    from tidalgrid.streaming import replay
+
+    rows = spark.createDataFrame([("a", "2024-01-01 00:10:00", 2.0), ("a", "2024-01-01 00:50:00", 3.0), ("a", "2024-01-01 01:10:00", 4.0), ("a", "2024-01-01 09:00:00", 0.0)], "run string, ts string, km double").withColumn("ts", F.to_timestamp("ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = replay.hourly(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    work = stream.writeStream.format("memory").queryName("hourly").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    work.awaitTermination(60)
+    assert sorted(r["km"] for r in spark.table("hourly").collect())[-2:] == [4.0, 5.0]

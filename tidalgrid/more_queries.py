@@ -549,6 +549,45 @@ def shore_km(spark, sf_dir):
     return water.nearest_shore_km(points, edges).withColumn("km", F.round("km", 3))
 
 
+@query(f"""WITH {BASE}, p AS (SELECT o_orderkey AS id, (o_orderkey * 7) % 30 AS row, (o_orderkey * 11) % 70 AS col FROM orders), f AS (SELECT p.*, l.level, y.lo, y.hi FROM p CROSS JOIN l LEFT JOIN y ON y.level = l.level AND y.row = p.row // l.f AND y.col = p.col // l.f),
+d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level DESC) AS n FROM f WHERE lo IS NULL OR lo >= 0 OR hi < 0 OR level = 0) SELECT id, row, col FROM d WHERE n = 1 AND lo >= 0""")
+def legal_points(spark, sf_dir):
+    points = orders(spark, sf_dir).select("id", (F.col("id") * 7 % 30).alias("row"), (F.col("id") * 11 % 70).alias("col"))
+    return water.legal(points, tree(spark, sf_dir), 4)
+
+
+@query(f"""WITH RECURSIVE {SEA}, ok AS (SELECT cell FROM w WHERE cell % 7 <> 3), g AS (SELECT k.* FROM km k JOIN ok a ON a.cell = k.src JOIN ok b ON b.cell = k.dst), r(cell, v) USING KEY (cell) AS (SELECT cell, CAST(0 AS DOUBLE) AS v FROM ok WHERE cell = 130 UNION
+ SELECT x.cell, x.v FROM (SELECT g.dst AS cell, min(r.v + g.km) AS v FROM r JOIN g ON g.src = r.cell GROUP BY g.dst) x LEFT JOIN recurring.r o ON o.cell = x.cell WHERE o.cell IS NULL OR x.v < o.v - 1e-12)
+SELECT cell, round(v, 3) AS km FROM r""")
+def cost_to_go(spark, sf_dir):
+    cells = sea_cells(spark, sf_dir).where("water and cell % 7 <> 3")
+    return water.cost_to_go(130, cells, sea_edges(spark, sf_dir)).select("cell", F.round("value", 3).alias("km"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_acctbal <= 600 THEN 0.0 ELSE 500.0 END AS motor, CASE WHEN c_acctbal <= 0 THEN 0.0 WHEN c_acctbal <= 600 THEN 25.0 ELSE 100.0 END AS avionics FROM customer""")
+def power_policy(spark, sf_dir):
+    motor, other = geo.power_policy(F.col("c_acctbal"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), motor.alias("motor"), other.alias("avionics"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'j m**-2' WHEN 1 THEN 'm s-1' WHEN 2 THEN 'kg m-2' ELSE 'j/m2' END AS units, p_partkey % 4 IN (0, 3) OR p_partkey % 3 = 0 AS accumulated FROM part""")
+def plain_units(spark, sf_dir):
+    units = F.element_at(F.array(*[F.lit(u) for u in (" J   m**-2", "M S-1 ", "kg  m-2", "J/m2")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    total = geo.is_accumulated(units, F.when(F.col("p_partkey") % 3 == 0, "area: mean time : sum").otherwise("time: mean"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), geo.plain_units(units).alias("units"), total.alias("accumulated"))
+
+
+@query("""WITH r AS (SELECT DISTINCT o_orderpriority AS source, CAST(epoch(o_orderdate) AS BIGINT) AS t FROM orders), g AS (SELECT source, t - lag(t) OVER (PARTITION BY source ORDER BY t) AS d FROM r)
+SELECT source, min(d) AS shortest, max(d) AS longest FROM g GROUP BY 1 HAVING min(d) <> max(d)""")
+def uneven_sources(spark, sf_dir):
+    return fields.uneven_sources(dated(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT o_orderpriority AS source, min(epoch(o_orderdate)) AS a, max(epoch(o_orderdate)) AS b FROM orders GROUP BY 1), l AS (SELECT source, b, max(b) OVER (ORDER BY a, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s) SELECT source FROM l WHERE b <= m""")
+def skipped_sources(spark, sf_dir):
+    return fields.skipped_sources(dated(spark, sf_dir))
+
+
 @query("""SELECT n_nationkey AS id, CAST(floor((n_nationkey * 0.3) / 0.5 + 0.5) * 720 + CAST(floor((n_nationkey * 14.7 + 180) / 0.5 + 0.5) AS BIGINT) % 720 AS BIGINT) AS cell, CAST((n_nationkey + 1) * 720 AS BIGINT) AS cells, round((n_nationkey + 1) * 720 * 230 / 1073741824.0, 9) AS gb FROM nation""")
 def map_cells_of_points(spark, sf_dir):
     key = F.col("n_nationkey")

@@ -114,7 +114,8 @@ def quantise(cells: DataFrame) -> DataFrame:
 
 def dequantise(cells: DataFrame) -> DataFrame:
     """i, j, k, value of cells with raw, scale and offset."""
-    return cells.select("i", "j", "k", F.when(F.col("raw") != FILL, F.col("raw") * F.col("scale") + F.col("offset")).alias("value"))
+    value = (F.col("raw") * F.col("scale") + F.col("offset")).cast("float").cast("double")  # as a sampler returns it
+    return cells.select("i", "j", "k", F.when(F.col("raw") != FILL, value).alias("value"))
 
 
 def to_rate(cells: DataFrame, step: int) -> DataFrame:
@@ -191,6 +192,18 @@ def union_along_time(rows: DataFrame) -> DataFrame:
     return rows.join(limits, "source").where(F.col("after").isNull() | (F.col("t") > F.col("after"))).drop("after")
 
 
+def skipped_sources(rows: DataFrame) -> DataFrame:
+    """source: those that a union along time takes nothing from, as earlier ones reach as far."""
+    return rows.select("source").distinct().join(union_along_time(rows).select("source").distinct(), "source", "left_anti")
+
+
+def uneven_sources(rows: DataFrame) -> DataFrame:
+    """source, shortest, longest: sources whose own times aren't evenly spaced; they can't be joined as they are."""
+    gap = F.col("t") - F.lag("t").over(Window.partitionBy("source").orderBy("t"))
+    steps = rows.select("source", "t").distinct().select("source", gap.alias("d")).groupBy("source")
+    return steps.agg(F.min("d").alias("shortest"), F.max("d").alias("longest")).where("shortest <> longest")
+
+
 def nearest_time(queries: DataFrame, times: DataFrame, buckets: int = 64) -> DataFrame:
     """id, t, at: the nearest of ``times``(t) to each query(id, t); of two equally near, the earlier.
 

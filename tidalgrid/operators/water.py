@@ -245,6 +245,37 @@ def leaves(tree: DataFrame, finest: int = 0) -> DataFrame:
     return tree.where(F.col("level") >= finest).select("level", "row", "col", (F.col("lo") >= 0).alias("legal"), (F.col("hi") < 0).alias("illegal"))
 
 
+def legal(points: DataFrame, tree: DataFrame, levels: int) -> DataFrame:
+    """Points(id, row, col) whose clearance isn't negative."""
+    return points.join(decide(points, tree, levels).where("legal").select("id"), "id", "left_semi")
+
+
+def cost_to_go(goal: int, cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """cell, value: kilometres to a goal over legal cells(cell) only. An extension."""
+    inside = edges.join(cells.select(F.col("cell").alias("src")), "src", "left_semi").join(cells.select(F.col("cell").alias("dst")), "dst", "left_semi")
+    start = edges.sparkSession.createDataFrame([(goal, 0.0)], "cell long, value double").join(cells.select("cell"), "cell", "left_semi")
+    return shore_distance(start, inside)
+
+
+def swept(moves: DataFrame, tree: DataFrame, levels: int, samples: int = 8) -> DataFrame:
+    """id, legal: whether all of ``samples`` + 1 places along moves(id, row1, col1, row2, col2) are legal. An extension."""
+    at = moves.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples))))
+    along = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / samples + 0.5)
+    places = at.select(F.struct("id", "k").alias("id"), along("row1", "row2").alias("row"), along("col1", "col2").alias("col"))
+    return decide(places, tree, levels).groupBy(F.col("id.id").alias("id")).agg(F.min("legal").alias("legal"))
+
+
+def rings(spark, path: str) -> DataFrame:
+    """x1, y1, x2, y2 of all rings of the polygons of GeoJSON feature files; under the even-odd rule they are one area."""
+    pair, multi = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    text = spark.read.text(path, wholetext=True)
+    parsed = text.select(F.explode(F.from_json("value", "features array<struct<geometry:struct<type:string,coordinates:string>>>")["features"]).alias("f")).select("f.geometry.*")
+    one = F.array(F.from_json("coordinates", pair))
+    ring = F.explode(F.flatten(F.when(F.col("type") == "MultiPolygon", F.from_json("coordinates", multi)).otherwise(one))).alias("r")
+    ends = parsed.where("type in ('Polygon', 'MultiPolygon')").select(ring).select(F.explode(F.arrays_zip(F.slice("r", 1, F.size("r") - 1).alias("a"), F.slice("r", 2, F.size("r") - 1).alias("b"))).alias("e"))
+    return ends.select(*[F.element_at(F.col(f"e.{n}"), k).alias(f"{'xy'[k - 1]}{m}") for n, m in (("a", 1), ("b", 2)) for k in (1, 2)]).select("x1", "y1", "x2", "y2")
+
+
 def furthest(cells: DataFrame) -> DataFrame:
     """cells, connected, lat, lng, km: counts of cells(cell, lat, lng, km), those with km, and the place of the largest."""
     return cells.agg(F.count(F.lit(1)).alias("cells"), F.count("km").alias("connected"), F.max(F.struct("km", "lat", "lng")).alias("m")).select("cells", "connected", "m.lat", "m.lng", "m.km")

@@ -106,6 +106,22 @@ def expand_runs(config: dict) -> list[dict]:
     return out
 
 
+def load_config(path: str) -> list[dict]:
+    """The runs of a YAML file, defaults laid under them and sweeps expanded."""
+    import yaml
+
+    with open(path, encoding="utf-8") as file:
+        return expand_runs(yaml.safe_load(file) or {})
+
+
+def spread(values: list[float], gap: float) -> list[float]:
+    """Positions at least ``gap`` apart, in the order of the values, each as near to its value as those before allow."""
+    out, low = list(values), -math.inf
+    for k in sorted(range(len(values)), key=lambda k: values[k]):
+        out[k] = low = max(values[k], low + gap)
+    return out
+
+
 def time_blocks(start: int, end: int, days: int) -> list[tuple[int, int]]:
     """Closed blocks of whole days, ``days`` each at most, from the day of ``start`` to that of ``end``; both in seconds.
 
