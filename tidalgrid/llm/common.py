@@ -146,9 +146,9 @@ def tidy(spark: SparkSession) -> None:
 
 
 def ranges(docs: DataFrame, n: int) -> list[int]:
-    """Up to n - 1 ids that cut the documents into batches by ascending doc_id; each cut has twice as many below it as
-    the one before, and the last two fifths of all."""
+    """Up to n - 1 ids that cut the documents into batches by ascending doc_id; the last cut has 35 % of all below it, and each
+    cut before it three tenths of the one that follows."""
     if n < 2:
         return []
-    cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [0.4 / 2**i for i in range(n - 2, -1, -1)], 0.01)
+    cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [0.35 * 0.3**i for i in range(n - 2, -1, -1)], 0.01)
     return sorted({int(c) for c in cuts})

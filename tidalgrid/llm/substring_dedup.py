@@ -272,8 +272,8 @@ def substring_dedup(docs: DataFrame, batches: int = 3, most_runs: int = 1) -> Da
     Words covered by a 20-word window that also starts earlier (smaller doc_id, or earlier in the text) go. A null or
     empty text, or one of fewer than 20 words, loses nothing; a row with a null doc_id is compared with nothing and
     stays whole; rows that repeat an id and its text are one document listed twice and get the same result. Other
-    columns are not read. ``batches``: the corpus is indexed in so many steps, by ascending doc_id; each
-    step but the first is as large as all before it, the last half as large again.
+    columns are not read. ``batches``: the corpus is indexed in so many steps of growing size, by ascending
+    doc_id; runs are compacted on the way.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
