@@ -259,6 +259,36 @@ def test_packing_encodes_long_white_space(library):
         assert packing.encoder(TOKENIZER).batch([text]) == [want]
 
 
+def test_line_blocks_find_what_brute_force_finds(spark, docs):
+    """On a whole table: nothing goes that the comparison of all lines keeps, and nine tenths of its fuzzy links are found."""
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    whole, blocks = ({r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(texts, exhaustive=x).collect()} for x in (True, False))
+    held = [r["text"] for r in texts.collect() if r["text"]]
+    norms = [n for text in held for line in text.split("\n") if (n := " ".join(re.findall(r"[^\W_]+", line.lower())))]
+    equal = len(norms) - len(set(norms))
+    assert all(blocks[d] <= whole[d] for d in whole)
+    assert sum(whole.values()) > equal + 20 and sum(blocks.values()) - equal >= 0.9 * (sum(whole.values()) - equal)
+
+
+def test_line_blocks_at_all_lengths(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9)))
+    texts, removed = [], {}
+    for size in (1, 2, 4, 7, 12, 14, 30, 90, 700):
+        line = [word() + "xy" for _ in range(size)]
+        near = list(line)
+        near[size // 2] = near[size // 2][:-1] + "z"  # a letter of one word
+        texts += [(2 * size, " ".join(line)), (2 * size + 1, " ".join(near).upper() + "!")]
+        removed |= {2 * size: 0, 2 * size + 1: int(len(" ".join(line)) >= 5)}
+    unspaced = "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(300))
+    texts += [(9000, unspaced), (9001, unspaced[:120] + "他の文" + unspaced[125:]), (9002, "next\n\nnext\n"), (9002, "next\n\nnext\n"), (None, "next"), (9003, None), (9004, "")]
+    removed |= {9000: 0, 9001: 1, 9002: 1, None: 0, 9003: 0, 9004: 0}
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("keys", F.lit("x"))
+    got = line_dedup.line_dedup(frame, exhaustive=False).collect()
+    assert len(got) == len(texts) and {r["doc_id"]: r["n_removed"] for r in got} == removed
+    assert line_dedup.line_dedup(frame.where("false"), exhaustive=False).count() == 0
+
+
 def test_warc_audit(spark):
     pages = spark.range(1000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
     pages = pages.unionByName(spark.createDataFrame([(None, None, None)], "page_id long, url string, html string"))
