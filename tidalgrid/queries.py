@@ -88,7 +88,7 @@ def vector_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = fields.quantise(fields.dense(event_cells(spark, sf_dir), WORLD))
-    return fields.dequantise(q).select("i", "j", "k", F.round("value", 2).alias("value"))
+    return fields.dequantise(q).select("i", "j", "k", (F.floor(F.col("value") * 100 + 0.5) / 100).alias("value"))
 
 
 def quantise_error(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +290,7 @@ b AS (SELECT id, sum(w * v) AS v FROM corners JOIN cells2 USING (i, j, k) GROUP
 SELECT id, round(sqrt(u * u + v * v), 4) AS speed, round((degrees(atan2(u, v)) + 360) % 360, 4) AS heading FROM a JOIN b USING (id)""",
     "quantise": f"""WITH {CELLS}, {GRID}, r AS (SELECT CAST(min(value) AS DOUBLE) AS o, greatest(max(value) - min(value), 1e-12) / 65534 AS s FROM cells),
 q AS (SELECT i, j, k, value, o, s, least(greatest(round_even(CAST(CAST(CAST(value AS FLOAT) - CAST(o AS FLOAT) AS FLOAT) / CAST(s AS FLOAT) AS FLOAT), 0), 0), 65534) AS raw FROM full_cells, r)
-SELECT i, j, k, round(CAST(CAST(raw * s + o AS FLOAT) AS DOUBLE), 2) AS value FROM q""",
+SELECT i, j, k, CASE WHEN value IS NOT NULL THEN floor(CAST(CAST(raw * s + o AS FLOAT) AS DOUBLE) * 100 + 0.5) / 100 END AS value FROM q""",
     "quantise_error": f"""WITH {CELLS}, {GRID}, r AS (SELECT CAST(min(value) AS DOUBLE) AS o, greatest(max(value) - min(value), 1e-12) / 65534 AS s FROM cells),
 q AS (SELECT value, s, o + s * round_even((value - o) / s, 0) AS back FROM full_cells, r)
 SELECT count(*) AS cells, count(*) FILTER (value IS NULL OR abs(value - back) <= greatest(s, 1e-3)) AS good FROM q""",
