@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidalgrid.functions import geo
-from tidalgrid.operators import fields, tracks, voyage, water
+from tidalgrid.operators import fields, layers, tracks, voyage, water
 from tidalgrid.plans import axes as plan
 from tidalgrid.sources import npz
 
@@ -110,3 +110,11 @@ def test_width_and_distance_on_a_strip(spark):
 def test_policies_and_units(spark):
     got = spark.range(1).select(geo.seconds_of(F.lit("1.5h")).alias("a"), geo.seconds_of(F.lit("x")).alias("b"), geo.is_accumulated(F.lit(" J  m**-2"), F.lit(None).cast("string")).alias("c"), *[x.alias(n) for n, x in zip("de", geo.power_policy(F.lit(300.0)))]).first()
     assert (got["a"], got["b"], got["c"], got["d"], got["e"]) == (5400, None, True, 0.0, 25.0)
+
+
+def test_great_circle_of_opposite_places(spark):
+    legs = spark.createDataFrame([(1, 0.0, -155.0, 0.0, 25.0), (2, 0.0, 10.0, 0.0, 80.0)], "id long, lat1 double, lng1 double, lat2 double, lng2 double")
+    got = layers.great_circle_points(legs, 8).collect()
+    assert len(got) == 16 and {round(r["lat"], 9) for r in got if r["id"] == 2} == {0.0}
+    # halfway between opposite places the sum of both is no direction; its 0 / 0 is the pole in the query's SQL
+    assert [round(r["lat"], 3) for r in sorted(got) if r["id"] == 1] == [0, 0, 0, 90, 90, 0, 0, 0]

@@ -115,15 +115,17 @@ def frame_at(queries: DataFrame, cells: DataFrame) -> DataFrame:
 def great_circle_points(legs: DataFrame, n: int = 64) -> DataFrame:
     """id, k, lat, lng: n points along the great circle of legs(id, lat1, lng1, lat2, lng2); the two ends if they meet."""
     a, b = geo.to_xyz(F.col("lat1"), F.col("lng1")), geo.to_xyz(F.col("lat2"), F.col("lng2"))
-    dot = sum(x * y for x, y in zip(a, b))
-    arc = F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0)))
-    rows = legs.withColumn("arc", arc).withColumn("k", F.explode(F.when(F.col("arc") < 1e-9, F.array(F.lit(0), F.lit(n - 1))).otherwise(F.sequence(F.lit(0), F.lit(n - 1)))))
-    f = F.col("k") / F.lit(float(n - 1))
-    near = F.col("arc") < 1e-9
-    wa, wb = F.sin((1 - f) * F.col("arc")) / F.sin("arc"), F.sin(f * F.col("arc")) / F.sin("arc")
-    lat, lng = geo.from_xyz(*[x * wa + y * wb for x, y in zip(a, b)])
-    end = F.col("k") == 0
-    return rows.select("id", "k", F.when(near, F.when(end, F.col("lat1")).otherwise(F.col("lat2"))).otherwise(lat).alias("lat"), F.when(near, F.when(end, F.col("lng1")).otherwise(F.col("lng2"))).otherwise(lng).alias("lng"))
+    ends = legs.select("id", "lat1", "lng1", "lat2", "lng2", F.array(*a).alias("a"), F.array(*b).alias("b"))  # once a leg, not once a point
+    dot = sum(F.col("a")[i] * F.col("b")[i] for i in range(3))
+    ends = ends.withColumn("arc", F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))))
+    near, f = F.col("arc") < 1e-9, F.col("k") / F.lit(float(n - 1))
+    rows = ends.withColumn("k", F.explode(F.when(near, F.array(F.lit(0), F.lit(n - 1))).otherwise(F.sequence(F.lit(0), F.lit(n - 1)))))
+    rows = rows.withColumns({"wa": F.sin((1 - f) * F.col("arc")), "wb": F.sin(f * F.col("arc")), "sine": F.sin("arc")})
+    # multiplied before it is divided: between opposite places, where all is rounding, that is the order of the SQL
+    rows = rows.withColumn("at", F.when(~near, F.array(*[F.col("a")[i] * F.col("wa") / F.col("sine") + F.col("b")[i] * F.col("wb") / F.col("sine") for i in range(3)])))
+    lat, lng = geo.from_xyz(*[F.col("at")[i] for i in range(3)])
+    pick = lambda c, x: F.when(near, F.when(F.col("k") == 0, F.col(f"{c}1")).otherwise(F.col(f"{c}2"))).otherwise(x).alias(c)
+    return rows.select("id", "k", pick("lat", lat), pick("lng", lng))
 
 
 def require_track(track: DataFrame) -> DataFrame:
