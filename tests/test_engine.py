@@ -118,3 +118,12 @@ def test_great_circle_of_opposite_places(spark):
     assert len(got) == 16 and {round(r["lat"], 9) for r in got if r["id"] == 2} == {0.0}
     # halfway between opposite places the sum of both is no direction; its 0 / 0 is the pole in the query's SQL
     assert [round(r["lat"], 3) for r in sorted(got) if r["id"] == 1] == [0, 0, 0, 90, 90, 0, 0, 0]
+
+
+def test_nearest_time_of_many_asked_at_once(spark):
+    """Thousands asked in one stretch of time, before, after and between its steps; ids of any type."""
+    times = spark.createDataFrame([(t,) for t in (0, 7, 100, 6400)], "t long")
+    asked = spark.range(60_000).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("id"), (F.col("id") % 131 - 10).alias("t"))
+    got = fields.nearest_time(asked, times)
+    want = {t: min((0, 7, 100, 6400), key=lambda s: (abs(s - t), s)) for t in range(-10, 121)}
+    assert {(r["t"], r["at"]) for r in got.select("t", "at").distinct().collect()} == set(want.items()) and got.count() == 60_000

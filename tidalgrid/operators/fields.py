@@ -217,11 +217,12 @@ def nearest_time(queries: DataFrame, times: DataFrame, buckets: int = 64) -> Dat
     steps = times.select("t", bucket).distinct()
     ends = queries.sparkSession.range(buckets).select(F.col("id").alias("b")).join(steps.groupBy("b").agg(F.min("t").alias("first"), F.max("t").alias("last")), "b", "left")
     order = Window.orderBy("b")  # a row a stretch
-    ends = ends.select("b", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("past"), F.min("first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
-    none = F.lit(None).cast("long")
-    both = steps.select("b", "t", none.alias("id"), F.col("t").alias("at")).unionByName(queries.select(bucket, "t", "id", none.alias("at")))
-    merge = Window.partitionBy("b").orderBy("t", F.col("id").isNotNull())
-    found = both.select("b", "t", "id", F.last("at", True).over(merge.rowsBetween(Window.unboundedPreceding, 0)).alias("x"), F.first("at", True).over(merge.rowsBetween(1, Window.unboundedFollowing)).alias("y"))
-    found = found.where("id is not null").join(ends, "b").select("id", "t", F.coalesce("x", "past").alias("x"), F.coalesce("y", "next").alias("y"))
+    ends = ends.select("b", "first", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("past"), F.min("first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
+    order = Window.partitionBy("b").orderBy("t")
+    held = steps.join(ends.select("b", "next"), "b").select("b", "t", F.struct(F.col("t").alias("x"), F.coalesce(F.lead("t").over(order), "next").alias("y")).alias("step"))
+    both = held.select("b", "t", F.lit(None).cast(queries.schema["id"].dataType).alias("id"), F.lit(False).alias("asked"), "step").unionByName(queries.select(bucket, "t", "id", F.lit(True).alias("asked"), F.lit(None).cast(held.schema["step"].dataType).alias("step")))
+    merge = Window.partitionBy("b").orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0)  # a frame that also ran ahead would be read anew for each row
+    found = both.select("b", "t", "id", "asked", F.last("step", True).over(merge).alias("step")).where("asked").join(ends, "b")
+    found = found.select("id", "t", F.coalesce("step.x", "past").alias("x"), F.when(F.col("step").isNull(), F.coalesce("first", "next")).otherwise(F.col("step.y")).alias("y"))
     earlier = F.col("y").isNull() | (F.col("t") - F.col("x") <= F.col("y") - F.col("t"))
     return found.select("id", "t", F.when(F.col("x").isNotNull() & earlier, F.col("x")).otherwise(F.col("y")).alias("at")).where("at is not null")
