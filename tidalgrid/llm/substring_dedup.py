@@ -190,6 +190,7 @@ class FingerprintIndex:
             found.groupBy("fp", "zone").agg(F.min(F.struct(*SITE)).alias("first"), F.count(F.lit(1)).alias("n")),
             f"keys{k}",
         )
+        tidy(self.spark)  # here and below: what a step wrote or moved goes before the next one writes
         old = None
         for name in self.runs:  # merge joins: the run's side is bucketed and sorted
             hit = self.spark.table(name).join(keys.select("fp").distinct(), "fp", "left_semi")
@@ -197,9 +198,13 @@ class FingerprintIndex:
         new = keys.select("fp", "zone", "first", "n", F.lit(False).alias("known"))
         if old is not None:
             old = save(old, f"old{k}")
+            if last:
+                self.close()
             seen = old.select("fp", "zone", F.lit(True).alias("seen")).distinct()
             new = new.drop("known").join(seen, ["fp", "zone"], "left").withColumn("known", F.col("seen").isNotNull()).drop("seen")
             new = save(new, f"new{k}")
+            self.scratch.drop(f"keys{k}")
+        tidy(self.spark)
         # an anchor with several zones: its windows need verification, at the zones' first places
         zones = new.select("fp", "zone", F.when(F.col("known"), 0).otherwise(1).alias("fresh"))
         if old is not None:
@@ -209,11 +214,14 @@ class FingerprintIndex:
             .where("a <> b and fresh = 1").select("fp"),
             f"several{k}",
         )
+        tidy(self.spark)
         places = new.where("not known").join(several, "fp", "left_semi").select("first.*")
         if old is not None:
             places = places.unionByName(old.join(several, "fp", "left_semi").select(*SITE))
         wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
         hashes = save(windows(so_far, wanted), f"windows{k}")
+        self.scratch.drop(f"old{k}", f"several{k}")
+        tidy(self.spark)
         least = hashes.groupBy("wa", "wb").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
         single = (
             hashes.join(least, ["wa", "wb"])
@@ -221,6 +229,9 @@ class FingerprintIndex:
             .where(F.lit(True) if after is None else F.col("doc_id") > after)
             .select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
         )
+        single = save(single, f"single{k}")
+        self.scratch.drop(f"windows{k}")
+        tidy(self.spark)
         whole = (
             found.join(new.where("known or n > 1").select("fp", "zone", "first", "known"), ["fp", "zone"])
             .where("known or doc_id <> first.doc_id or pos <> first.pos")
@@ -233,7 +244,7 @@ class FingerprintIndex:
             self.runs.append(self._store(new.where("not known").select("fp", "zone", "first.*")))
             if len(self.runs) > self.most_runs:
                 self.compact()
-        self.scratch.drop(*(f"{x}{k}" for x in ("anchors", "keys", "old", "new", "several", "windows")))
+        self.scratch.drop(*(f"{x}{k}" for x in ("anchors", "keys", "new", "single")))
         tidy(self.spark)
         return out
 
