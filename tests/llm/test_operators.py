@@ -289,6 +289,23 @@ def test_line_blocks_at_all_lengths(spark):
     assert line_dedup.line_dedup(frame.where("false"), exhaustive=False).count() == 0
 
 
+def scattered(spark):
+    """Lines of several lengths, and the same with a letter of each word changed, so that no word is left."""
+    draw, texts = random.Random(6), []
+    for size in (5, 12, 40, 110, 330):
+        words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(6, 9))) for _ in range(size)]
+        texts += [(2 * size, " ".join(words)), (2 * size + 1, " ".join(w[:3] + "z" + w[4:] for w in words))]
+    return spark.createDataFrame(texts + [(9000, " ".join(words[::-1])), (9001, None)], "doc_id long, text string")
+
+
+def test_op3_query_links_lines_changed_all_over(spark, tmp_path):
+    from tidalgrid.llm import queries
+
+    scattered(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: int(d % 2 == 1 and d < 9000) for d in got} and len(got) == 12
+
+
 def test_warc_audit(spark):
     pages = spark.range(1000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
     pages = pages.unionByName(spark.createDataFrame([(None, None, None)], "page_id long, url string, html string"))
