@@ -306,6 +306,13 @@ def test_op3_query_links_lines_changed_all_over(spark, tmp_path):
     assert got == {d: int(d % 2 == 1 and d < 9000) for d in got} and len(got) == 12
 
 
+def test_pipeline_links_lines_changed_all_over(spark, tmp_path):
+    import corpus_pipeline
+
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, scattered(spark), str(tmp_path)).collect()}
+    assert len(got) == 12 and all((text == "") == (d % 2 == 1 and d < 9000) for d, text in got.items())
+
+
 def test_warc_audit(spark):
     pages = spark.range(1000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
     pages = pages.unionByName(spark.createDataFrame([(None, None, None)], "page_id long, url string, html string"))
