@@ -298,6 +298,28 @@ def scattered(spark):
     return spark.createDataFrame(texts + [(9000, " ".join(words[::-1])), (9001, None)], "doc_id long, text string")
 
 
+def test_line_dedup_writes_no_pairs_that_are_not_alike(spark, monkeypatch):
+    """What the comparison of all lines writes follows the lines, in groups, turns and slices as well; of pairs, only links are written."""
+    draw, texts, rows = random.Random(9), [], {}
+    for _ in range(100):
+        line = "".join(draw.choice("abcdefgh") for _ in range(600))
+        texts += [line, "".join("z" if i % 6 == 5 else c for i, c in enumerate(line))]  # a sixth of all characters changed
+    save = line_dedup.Scratch.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "save", saved)
+    monkeypatch.setattr(line_dedup, "SLICE_LINES", 90)
+    monkeypatch.setattr(line_dedup, "GROUP_LINES", 70)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {i: i % 2 for i in range(200)}
+    assert max(rows.values()) <= 200 and sum(n for name, n in rows.items() if name.startswith("links/")) == 100
+
+
 def test_op3_query_links_lines_changed_all_over(spark, tmp_path):
     from tidalgrid.llm import queries
 
